@@ -238,3 +238,7 @@ SELECT date, store_nbr, family, onpromotion FROM (
 def q_dedup_last(spark, sf_dir):
     p = _upanel(spark, sf_dir).select("date", "store_nbr", "family", "onpromotion")
     return pn.dedup_last(p, "date", ("store_nbr", "family"))
+
+
+# the model, validation and I/O queries register themselves on import
+from retailcast.plans import model_queries  # noqa: E402,F401
