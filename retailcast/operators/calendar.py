@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retailcast.functions.dates import weekday0, workday
-from retailcast.operators.joins import bounded_broadcast
+from retailcast.operators.joins import bounded_broadcasts
 
 # Fixed values
 QUAKE_TEXT = "Terremoto Manabi"
@@ -35,10 +35,8 @@ SEP = "|"
 
 
 def split_calendar(hol: DataFrame) -> dict[str, DataFrame]:
-    """Return the parts bridge, event, quake, national, local, regional."""
-    hol = hol.filter(~F.coalesce(F.col("transferred"), F.lit(False)))
-    hol = hol.withColumn("type", F.when(F.col("type") == "Transfer", "Holiday")
-                         .otherwise(F.col("type")))
+    """Return the parts bridge, event, quake, national, local, regional (raw rows)."""
+    hol = _kept(hol)
     bridge = (hol.filter(F.col("type") == "Bridge").select("date").distinct()
               .withColumn("bridge", F.lit(True)))
     events = hol.filter(F.col("type") == "Event").select("date", "description")
@@ -75,12 +73,61 @@ def calendar_rows(parts: dict[str, DataFrame]) -> DataFrame:
             .unionByName(part("regional", parts["regional"], locale=True)))
 
 
-def _joined_descr(df: DataFrame, keys, name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_set("description")), SEP).alias(name))
+def _kept(hol: DataFrame) -> DataFrame:
+    hol = hol.filter(~F.coalesce(F.col("transferred"), F.lit(False)))
+    return hol.withColumn("type", F.when(F.col("type") == "Transfer", "Holiday")
+                          .otherwise(F.col("type")))
+
+
+def _descr_set(c) -> F.Column:
+    """'|'-joined sorted distinct non-NULL values; NULL when there are none."""
+    s = F.array_sort(F.collect_set(c))
+    return F.when(F.size(s) > 0, F.array_join(s, SEP))
+
+
+def calendar_dims(hol: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One row per key from the raw holiday table.
 
+    (date -> _nat, bridge, _event, time_since_quake) in a single aggregation
+    plus one numbering window over the quake days of that one-row-per-date
+    table; ((date, city) -> _loc) and ((date, state) -> _reg).
+    """
+    kept = _kept(hol)
+    t, d = F.col("type"), F.col("description")
+    is_event = t == "Event"
+    is_quake = is_event & (F.instr(d, QUAKE_TEXT) > 0)
+    event = F.when(is_event & ~is_quake,
+                   F.when(F.instr(d, SPORTS_TEXT) > 0, SPORTS_LABEL).otherwise(d))
+    holiday = t == "Holiday"
+    by_date = kept.groupBy("date").agg(
+        _descr_set(F.when(holiday & (F.col("locale") == "National"), d)).alias("_nat"),
+        F.max(t == "Bridge").alias("_bridge"),
+        _descr_set(event).alias("_event"),
+        F.max(is_quake).alias("_quake"))
+    by_date = by_date.filter(F.col("_nat").isNotNull() | F.col("_bridge")
+                             | F.col("_event").isNotNull() | F.col("_quake"))
+    running = F.sum(F.col("_quake").cast("int")).over(
+        Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    by_date = by_date.select(
+        "date", "_nat", F.when(F.col("_bridge"), F.lit(True)).alias("bridge"), "_event",
+        F.when(F.col("_quake"), running).cast("int").alias("time_since_quake"))
+    hols = kept.filter(holiday)
+    loc = hols.filter(F.col("locale") == "Local").groupBy(
+        "date", F.col("locale_name").alias("city")).agg(_descr_set(d).alias("_loc"))
+    reg = hols.filter(F.col("locale") == "Regional").groupBy(
+        "date", F.col("locale_name").alias("state")).agg(_descr_set(d).alias("_reg"))
+    return by_date, loc, reg
+
+
+def join_calendar_dims(panel: DataFrame, by_date: DataFrame, loc: DataFrame, reg: DataFrame,
+                       keep_bridge: bool = False) -> DataFrame:
+    """Left-join the (already size-checked) calendar dims and derive the flags."""
+    out = (panel.join(by_date, "date", "left").join(loc, ["date", "city"], "left")
+           .join(reg, ["date", "state"], "left"))
+    return calendar_flags(out, keep_bridge)
 
-def attach_calendar(panel: DataFrame, parts: dict[str, DataFrame], fanout: bool = False,
+
+def attach_calendar(panel: DataFrame, holidays: DataFrame, fanout: bool = False,
                     keep_bridge: bool = False) -> DataFrame:
     """Add holiday, holiday_description, event, time_since_quake(_sq), workday.
 
@@ -89,6 +136,7 @@ def attach_calendar(panel: DataFrame, parts: dict[str, DataFrame], fanout: bool
     row-count check.
     """
     if fanout:
+        parts = split_calendar(holidays)
         nat = parts["national"].withColumnRenamed("description", "_nat")
         br = parts["bridge"]
         loc = parts["local"].select("date", F.col("locale_name").alias("city"),
@@ -97,22 +145,17 @@ def attach_calendar(panel: DataFrame, parts: dict[str, DataFrame], fanout: bool
                                        F.col("description").alias("_reg"))
         ev = parts["event"].withColumnRenamed("description", "_event")
         qk = parts["quake"]
+        dims = bounded_broadcasts(nat, br, loc, reg, ev, qk)
         out = panel
-        for dim, on in ((nat, "date"), (br, "date"), (loc, ["date", "city"]),
-                        (reg, ["date", "state"]), (ev, "date"), (qk, "date")):
-            out = out.join(bounded_broadcast(dim), on, "left")
-    else:
-        by_date = (_joined_descr(parts["national"], ["date"], "_nat")
-                   .join(parts["bridge"], "date", "full")
-                   .join(_joined_descr(parts["event"], ["date"], "_event"), "date", "full")
-                   .join(parts["quake"], "date", "full"))
-        loc = _joined_descr(parts["local"].withColumnRenamed("locale_name", "city"),
-                            ["date", "city"], "_loc")
-        reg = _joined_descr(parts["regional"].withColumnRenamed("locale_name", "state"),
-                            ["date", "state"], "_reg")
-        out = (panel.join(bounded_broadcast(by_date), "date", "left")
-               .join(bounded_broadcast(loc), ["date", "city"], "left")
-               .join(bounded_broadcast(reg), ["date", "state"], "left"))
+        for dim, on in zip(dims, ("date", "date", ["date", "city"], ["date", "state"], "date",
+                                  "date")):
+            out = out.join(dim, on, "left")
+        return calendar_flags(out, keep_bridge)
+    return join_calendar_dims(panel, *bounded_broadcasts(*calendar_dims(holidays)),
+                              keep_bridge=keep_bridge)
+
+
+def calendar_flags(out: DataFrame, keep_bridge: bool = False) -> DataFrame:
     hol = F.col("_nat").isNotNull() | F.col("_loc").isNotNull() | F.col("_reg").isNotNull()
     descr = F.concat(F.coalesce(F.col("_nat"), F.lit("")), F.coalesce(F.col("_loc"), F.lit("")),
                      F.coalesce(F.col("_reg"), F.lit("")))

@@ -22,6 +22,29 @@ def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> D
     return F.broadcast(small) if n <= max_rows else small
 
 
+def bounded_broadcasts(*smalls: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list[DataFrame]:
+    """Size-check several small tables in one job; hint broadcast on those within the bound."""
+    if not smalls:
+        return []
+    kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in smalls]
+    counts = kept[0].groupBy().count().withColumn("_i", F.lit(0))
+    for i, t in enumerate(kept[1:], start=1):
+        counts = counts.unionByName(t.groupBy().count().withColumn("_i", F.lit(i)))
+    n = {r["_i"]: r["count"] for r in counts.collect()}
+    return [F.broadcast(t) if n[i] <= max_rows else t for i, t in enumerate(kept)]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a reliable checkpoint into the shared ``spark.checkpoint.dir``.
+
+    Survives executor loss (files, not executor memory) and lets several
+    model fits read one computed table instead of recomputing its plan.
+    """
+    from retailcast.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
                    max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Equi-join ``fact`` to ``dim``: broadcast hash join when ``dim`` is proven small."""

@@ -43,12 +43,37 @@ def group_total(df: DataFrame, keys, value: str, name: str,
     return out
 
 
-def promo_totals(df: DataFrame, exclude_self: bool = False) -> DataFrame:
-    """total_other_promo_store by (date, store_nbr); total_other_city_promo by (date, city, family)."""
-    df = group_total(df, ["date", "store_nbr"], "onpromotion", "total_other_promo_store",
-                     exclude_self)
-    return group_total(df, ["date", "city", "family"], "onpromotion", "total_other_city_promo",
-                       exclude_self)
+def city_promo_totals(df: DataFrame) -> DataFrame:
+    """(date, city, family) -> total_other_city_promo; bounded by calendar x cities x families."""
+    return df.groupBy("date", "city", "family").agg(
+        F.sum("onpromotion").alias("total_other_city_promo"))
+
+
+def promo_totals(df: DataFrame, exclude_self: bool = False,
+                 city_totals: DataFrame | None = None) -> DataFrame:
+    """total_other_promo_store by (date, store_nbr); total_other_city_promo by (date, city, family).
+
+    The store total is a window sum: with the panel hash-partitioned by
+    store_nbr (see ``partition_by_store``) it needs no extra shuffle, and a
+    (date, store) group holds at most one row per family.  The city total is
+    a partial aggregate joined back; pass it size-checked as ``city_totals``
+    to have it broadcast.  Rows with a NULL city get NULL (join semantics).
+    """
+    totals = city_totals if city_totals is not None else city_promo_totals(df)
+    df = df.join(totals, ["date", "city", "family"], "left")
+    df = df.withColumn("total_other_promo_store",
+                       F.sum("onpromotion").over(Window.partitionBy("date", "store_nbr")))
+    if exclude_self:
+        own = F.coalesce(F.col("onpromotion"), F.lit(0))
+        df = df.withColumns({"total_other_promo_store": F.col("total_other_promo_store") - own,
+                             "total_other_city_promo": F.col("total_other_city_promo") - own})
+    return df
+
+
+def partition_by_store(df: DataFrame) -> DataFrame:
+    """Hash-partition by store_nbr: satisfies every later window keyed by (date, store_nbr),
+    (store_nbr, family) or (store_nbr, family, dayofyear) with this single shuffle."""
+    return df.repartition("store_nbr")
 
 
 def add_lags(df: DataFrame, column: str, lags: int, by=SERIES, order: str = "date") -> DataFrame:

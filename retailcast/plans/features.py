@@ -1,10 +1,10 @@
 """The feature-table plan: stores, promotion totals, calendar, oil, date parts, lags.
 
-One lazy plan over the union of train and test rows.  Shuffles of the panel:
-two for the promotion totals (keys (date, store_nbr) and (date, city, family))
-and one for all per-series windows (the one-year lag reuses the
-(store_nbr, family) partitioning).  Store, calendar and oil tables are joined
-by broadcast after a size check.
+One lazy plan over the union of train and test rows.  After the daily
+aggregation the panel is shuffled once more, by store_nbr, which serves the
+(date, store_nbr) promotion total and all per-series windows.  Store,
+calendar, oil and city-total tables are joined by broadcast after a size
+check.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailcast.functions.dates import date_parts
-from retailcast.operators.calendar import attach_calendar, split_calendar
-from retailcast.operators.joins import join_dimension
-from retailcast.operators.panel import (add_lags, promo_last_days, promo_totals, store_join,
-                                        union_panel, year_lag)
+from pyspark import StorageLevel
+
+from retailcast.operators.calendar import attach_calendar, calendar_dims, join_calendar_dims
+from retailcast.operators.joins import bounded_broadcasts
+from retailcast.operators.panel import (add_lags, city_promo_totals, partition_by_store,
+                                        promo_last_days, promo_totals, union_panel, year_lag)
 from retailcast.operators.series import interpolate_linear, rolling_mean
 
 # First date kept in X (after one year of history for the lags),
@@ -57,16 +59,37 @@ def oil_series(dates: DataFrame, oil: DataFrame, window: int = OIL_WINDOW) -> Da
 
 
 def base_panel(train: DataFrame, test: DataFrame, stores: DataFrame) -> DataFrame:
-    return promo_totals(store_join(union_panel(train, test), stores))
+    """Union panel + store attributes + promotion totals."""
+    panel = union_panel(train, test).join(stores.drop("cluster"), "store_nbr", "left")
+    return promo_totals(partition_by_store(panel))
 
 
 def feature_table(train: DataFrame, test: DataFrame, stores: DataFrame, oil: DataFrame,
                   holidays: DataFrame, start: str = FEATURE_START,
                   fanout: bool = False) -> DataFrame:
-    """X and X_test in one frame (``is_test``), keys + the 35 features, from ``start``."""
-    panel = base_panel(train, test, stores)
-    panel = attach_calendar(panel, split_calendar(holidays), fanout=fanout)
-    panel = join_dimension(panel, oil_series(panel, oil), "date")
+    """X and X_test in one frame (``is_test``), keys + the 35 features, from ``start``.
+
+    Plan shape: the daily panel is aggregated once (and kept in memory/disk
+    for the few passes that read it), all dimension tables -- stores, the oil
+    series, the calendar and the city promotion totals -- are size-checked in
+    one job and broadcast, and one hash shuffle by store_nbr serves the store
+    total and every per-series window.
+    """
+    up = union_panel(train, test).persist(StorageLevel.MEMORY_AND_DISK)
+    dim_stores = stores.drop("cluster")
+    city = city_promo_totals(up.join(dim_stores.select("store_nbr", "city"), "store_nbr", "left"))
+    if fanout:
+        stores_b, oil_b, city_b = bounded_broadcasts(dim_stores, oil_series(up, oil), city)
+    else:
+        stores_b, oil_b, city_b, by_date, loc, reg = bounded_broadcasts(
+            dim_stores, oil_series(up, oil), city, *calendar_dims(holidays))
+    panel = partition_by_store(up.join(stores_b, "store_nbr", "left"))
+    panel = promo_totals(panel, city_totals=city_b)
+    if fanout:
+        panel = attach_calendar(panel, holidays, fanout=True)
+    else:
+        panel = join_calendar_dims(panel, by_date, loc, reg)
+    panel = panel.join(oil_b, "date", "left")
     panel = date_parts(panel)
     panel = panel.withColumns({c: F.col(c).cast("double") for c in
                                ("onpromotion", "total_other_promo_store",

@@ -112,7 +112,7 @@ def q_calendar_split(spark, sf_dir):
 def q_calendar_flags(spark, sf_dir):
     train, test, stores = _inputs(spark, sf_dir)
     p = pn.store_join(pn.union_panel(train, test), stores)
-    p = cal.attach_calendar(p, cal.split_calendar(si.holidays_events(spark, sf_dir)))
+    p = cal.attach_calendar(p, si.holidays_events(spark, sf_dir))
     return p.select("date", "store_nbr", "family", "holiday", "holiday_description", "event",
                     "time_since_quake", "time_since_quake_sq", "workday")
 
@@ -131,8 +131,7 @@ GROUP BY p.date""", "spanel", "c_national", "c_bridge", "c_local", "c_regional",
 def q_calendar_fanout(spark, sf_dir):
     train, test, stores = _inputs(spark, sf_dir)
     p = pn.store_join(pn.union_panel(train, test), stores)
-    p = cal.attach_calendar(p, cal.split_calendar(si.holidays_events(spark, sf_dir)),
-                            fanout=True)
+    p = cal.attach_calendar(p, si.holidays_events(spark, sf_dir), fanout=True)
     return p.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -164,7 +163,7 @@ _LAG_COLS = ([f"onpromotion_lag_{k}" for k in range(1, 8)]
       "FROM features_all) f", "features_all"))
 def q_lags(spark, sf_dir):
     p = _upanel(spark, sf_dir)
-    p = join_dimension(p, ft.oil_series(p, si.oil(spark, sf_dir)), "date")
+    p = pn.partition_by_store(join_dimension(p, ft.oil_series(p, si.oil(spark, sf_dir)), "date"))
     p = p.withColumn("onpromotion", F.col("onpromotion").cast("double"))
     p = pn.add_lags(p, "onpromotion", 7)
     p = pn.add_lags(p, "dcoilwtico", 7)
@@ -176,7 +175,7 @@ def q_lags(spark, sf_dir):
     "SELECT date, store_nbr, family, " + rnd("sales_one_year_lag", 4) + " AS sales_one_year_lag "
     "FROM features_all", "features_all"))
 def q_year_lag(spark, sf_dir):
-    p = pn.year_lag(_upanel(spark, sf_dir), "sales")
+    p = pn.year_lag(pn.partition_by_store(_upanel(spark, sf_dir)), "sales")
     return p.select("date", "store_nbr", "family", _r("sales_one_year_lag", 4))
 
 
