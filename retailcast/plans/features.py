@@ -76,13 +76,14 @@ def feature_table(train: DataFrame, test: DataFrame, stores: DataFrame, oil: Dat
     total and every per-series window.
     """
     up = union_panel(train, test).persist(StorageLevel.MEMORY_AND_DISK)
-    dim_stores = stores.drop("cluster")
-    city = city_promo_totals(up.join(dim_stores.select("store_nbr", "city"), "store_nbr", "left"))
+    # the store table first: the city totals are built over its broadcast join
+    (stores_b,) = bounded_broadcasts(stores.drop("cluster"))
+    city = city_promo_totals(up.join(stores_b.select("store_nbr", "city"), "store_nbr", "left"))
     if fanout:
-        stores_b, oil_b, city_b = bounded_broadcasts(dim_stores, oil_series(up, oil), city)
+        oil_b, city_b = bounded_broadcasts(oil_series(up, oil), city)
     else:
-        stores_b, oil_b, city_b, by_date, loc, reg = bounded_broadcasts(
-            dim_stores, oil_series(up, oil), city, *calendar_dims(holidays))
+        oil_b, city_b, by_date, loc, reg = bounded_broadcasts(
+            oil_series(up, oil), city, *calendar_dims(holidays))
     panel = partition_by_store(up.join(stores_b, "store_nbr", "left"))
     panel = promo_totals(panel, city_totals=city_b)
     if fanout:

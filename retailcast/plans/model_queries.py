@@ -184,9 +184,9 @@ _OH = {"type": ["A", "B", "C", "D", "E"], "family": list(FAMILIES_SQL)}
         for c, vs in _OH.items() for v in vs
         ) + " FROM features", "features"))
 def q_onehot(spark, sf_dir):
-    """One 0/1 column per level of type and family, levels fitted on training rows only."""
+    """One 0/1 column per level of the declared type and family domains; others are zeros."""
     allx = _feature_table(spark, sf_dir)
-    model = OneHot(["type", "family"], prefix="oh_").fit(allx.filter(~F.col("is_test")))
+    model = OneHot(prefix="oh_", levels=_OH).fit(allx)
     return model.transform(allx, drop=False).select("id", *model.output_columns())
 
 
