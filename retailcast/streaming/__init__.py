@@ -1,0 +1,8 @@
+"""Streaming.
+
+The forecasting job reads bounded files only (sales, stores, oil, calendar,
+trial logs) and has no streaming, watermark or stateful operator, so this
+package is intentionally empty.  Incremental use is covered by batch
+appends: trial logs are appended as JSON lines (``sources.io.write_trial_log``)
+and resumed by an anti-join (``operators.search.pending_trials``).
+"""
