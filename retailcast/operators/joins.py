@@ -34,15 +34,21 @@ def bounded_broadcasts(*smalls: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -
     return [F.broadcast(t) if n[i] <= max_rows else t for i, t in enumerate(kept)]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a reliable checkpoint into the shared ``spark.checkpoint.dir``.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage: write ``df`` once as parquet into the shared ``spark.checkpoint.dir``
+    and read it back.
 
-    Survives executor loss (files, not executor memory) and lets several
-    model fits read one computed table instead of recomputing its plan.
+    The plan runs once (a plain ``checkpoint()`` without a cache would run it
+    twice), the files survive executor loss, and later reads keep column
+    pruning and filter pushdown.
     """
+    import uuid
+
     from retailcast.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/retailcast-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",

@@ -77,7 +77,7 @@ def _x(spark, sf_dir) -> DataFrame:
 
 def _features_materialized(spark, sf_dir) -> DataFrame:
     """The feature table computed once and checkpointed for repeated model passes."""
-    return materialize(_feature_table(spark, sf_dir))
+    return materialize(_feature_table(spark, sf_dir), "features")
 
 
 # ------------------------------------------------------------------ sources and sinks
