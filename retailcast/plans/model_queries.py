@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.functions.metrics import clip_lower
+from retailcast.functions.metrics import clip_lower, msle_term
 from retailcast.operators import ensemble as en
 from retailcast.operators import evaluate as ev
 from retailcast.operators import knn
@@ -76,10 +76,15 @@ def _x(spark, sf_dir) -> DataFrame:
 
 
 def _features_materialized(spark, sf_dir) -> DataFrame:
-    """The feature table computed once and checkpointed for repeated model passes."""
+    """The feature table computed once and written to the shared folder for model passes."""
     return materialize(_feature_table(spark, sf_dir), "features")
 
 
+def _target_materialized(spark, sf_dir) -> DataFrame:
+    """y = (date, store_nbr, family, sales) from the feature start, written once."""
+    return materialize(ft.target_table(si.train_frame(spark, sf_dir)), "target")
+
+
 # ------------------------------------------------------------------ sources and sinks
 @query("q_csv_roundtrip", with_ctes(
     "SELECT date, store_nbr, family, " + rnd("sales", 4) + " AS sales FROM train", "train"))
@@ -434,7 +439,7 @@ def _hybrid(spark, sf_dir, boosted: bool, learner):
     allx = _features_materialized(spark, sf_dir)
     x = allx.filter(~F.col("is_test")).drop("is_test")
     test = allx.filter(F.col("is_test")).drop("is_test")
-    y = ft.target_table(si.train_frame(spark, sf_dir))
+    y = _target_materialized(spark, sf_dir)
     model = HybridForecaster(learner=learner, boosted=boosted).fit(x, y)
     return model.predict(test).select("id", _r("pred", 4))
 
@@ -455,3 +460,82 @@ def q_hybrid_stacked(spark, sf_dir):
 def q_rf_hybrid(spark, sf_dir):
     """Per-series OLS trend + random forest on the residuals; test-row forecasts."""
     return _hybrid(spark, sf_dir, True, make_learner("rf", numTrees=20, maxDepth=8))
+
+
+# ------------------------------------------------------------------ sinks end to end
+@query("q_submission", with_ctes(
+    f"SELECT id, {rnd('sum(pred / cv) / sum(1 / cv)', 4)} AS sales FROM naive_long "
+    "JOIN naive_cv USING (model) GROUP BY id", "naive_long", "naive_cv"))
+def q_submission(spark, sf_dir):
+    """Predictions per model and CV scores written to their sinks, blended by 1 / RMSLE
+    from what was written, and the submission CSV read back."""
+    base = io.scratch_path(spark, "run")
+    scored = _naive_scored(spark, sf_dir).persist()
+    for row in _naive_cv(scored).collect():  # one row per model
+        io.append_score(spark, f"{base}/scores", row["model"], row["cv"])
+    for m in ("lag_1", "mean_7", "year_lag"):
+        io.write_predictions(scored.filter(F.col("model") == m).select(
+            F.col("rid").alias("id"), "pred"), f"{base}/predictions", m)
+    preds = io.read_parquet(spark, f"{base}/predictions")
+    scores = io.read_scores(spark, f"{base}/scores").withColumnRenamed("Model", "model")
+    io.write_submission(en.blend(preds, scores), f"{base}/submission")
+    sub = spark.read.schema("id long, sales double").option("header", True) \
+        .csv(f"{base}/submission")
+    return sub.select("id", _r("sales", 4))
+
+
+# ------------------------------------------------------------------ searches with scoring
+@query("q_knn_search")
+def q_knn_search(spark, sf_dir):
+    """Seeded random search over kNN options (k, weights, metric): every trial is a
+    leave-one-out kNN regression of the embedding labels scored by RMSLE, appended to a
+    JSON-lines trial log; the report is the best trial per search."""
+    pts = si.vectors(spark, sf_dir).persist()
+    cand = sr.random_trials(spark, {k: sr.KNN_BOUNDS[k] for k in ("n_neighbors", "weights",
+                                                                 "metric")}, 3, seed=1)
+    log_path = io.scratch_path(spark, "knn-trials")
+    trials = cand.select("trial", "n_neighbors", sr.knn_weights(F.col("weights")).alias("w"),
+                         sr.knn_metric(F.col("metric")).alias("m")).collect()  # 3 rows
+    start = None
+    import time as _time
+    for t in trials:
+        t0 = _time.time()
+        start = start or t0
+        k = int(round(t["n_neighbors"]))
+        pred = knn.knn_regress(pts, None, k=k, weights=t["w"], metric=t["m"])
+        score = pred.join(pts.select("vec_id", "label"), "vec_id").agg(
+            F.sqrt(F.avg(msle_term(F.col("label"), F.col("prediction")))).alias("s"))
+        rmsle = score.first()["s"]
+        row = spark.createDataFrame(
+            [(-float(rmsle), (float(k), t["w"], t["m"]),
+              (_time.strftime("%Y-%m-%d %H:%M:%S"), _time.time() - start, _time.time() - t0),
+              int(t["trial"]))],
+            "target double, params struct<n_neighbors:double, weights:string, metric:string>, "
+            "datetime struct<datetime:string, elapsed:double, delta:double>, trial long")
+        row.write.mode("append").json(log_path)
+    log = spark.read.schema(
+        "target double, params struct<n_neighbors:double, weights:string, metric:string>, "
+        "datetime struct<datetime:string, elapsed:double, delta:double>, trial long"
+    ).json(log_path).withColumn("search", F.lit("knn"))
+    best = sr.best_trials(log)
+    return best.select("search", "n_trials", _r("best_target", 6),
+                       F.col("best_params.n_neighbors").cast("int").alias("n_neighbors"),
+                       F.col("best_params.weights").alias("weights"),
+                       F.col("best_params.metric").alias("metric"))
+
+
+@query("q_cv_hybrid")
+def q_cv_hybrid(spark, sf_dir):
+    """4-fold expanding-window CV of the hybrid OLS + random forest on the residuals,
+    refitted per fold: per-fold RMSLE and the overall sqrt(mean fold MSLE) as fold 0."""
+    allx = _features_materialized(spark, sf_dir)
+    x = allx.filter(~F.col("is_test")).drop("is_test")
+    y = _target_materialized(spark, sf_dir)
+
+    def fit_predict(tx, ty, vx):
+        model = HybridForecaster(learner=make_learner("rf", numTrees=10, maxDepth=6)).fit(tx, ty)
+        return model.predict(vx).select("date", "store_nbr", "family", "pred")
+
+    scores = ev.time_series_cv_folds(fit_predict, x, y, SPLITS)
+    return ev.rmsle_report(scores).select(F.col("fold").cast("int").alias("fold"),
+                                          _r("rmsle", 6))
