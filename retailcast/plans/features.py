@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailcast.functions.dates import date_parts
-from pyspark import StorageLevel
-
 from retailcast.operators.calendar import attach_calendar, calendar_dims, join_calendar_dims
 from retailcast.operators.joins import bounded_broadcasts
 from retailcast.operators.panel import (add_lags, city_promo_totals, partition_by_store,
@@ -69,13 +67,14 @@ def feature_table(train: DataFrame, test: DataFrame, stores: DataFrame, oil: Dat
                   fanout: bool = False) -> DataFrame:
     """X and X_test in one frame (``is_test``), keys + the 35 features, from ``start``.
 
-    Plan shape: the daily panel is aggregated once (and kept in memory/disk
-    for the few passes that read it), all dimension tables -- stores, the oil
+    Plan shape: the daily panel is aggregated in the main plan, all dimension tables -- stores, the oil
     series, the calendar and the city promotion totals -- are size-checked in
     one job and broadcast, and one hash shuffle by store_nbr serves the store
     total and every per-series window.
     """
-    up = union_panel(train, test).persist(StorageLevel.MEMORY_AND_DISK)
+    # no cache of the panel: the dimension job needs only its dates (a distinct over a
+    # grouping key, which the optimizer reads straight from the scan) and the city totals
+    up = union_panel(train, test)
     # the store table first: the city totals are built over its broadcast join
     (stores_b,) = bounded_broadcasts(stores.drop("cluster"))
     city = city_promo_totals(up.join(stores_b.select("store_nbr", "city"), "store_nbr", "left"))

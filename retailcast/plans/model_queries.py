@@ -539,3 +539,11 @@ def q_cv_hybrid(spark, sf_dir):
     scores = ev.time_series_cv_folds(fit_predict, x, y, SPLITS)
     return ev.rmsle_report(scores).select(F.col("fold").cast("int").alias("fold"),
                                           _r("rmsle", 6))
+
+
+@query("q_knn_hybrid")
+def q_knn_hybrid(spark, sf_dir):
+    """Per-series OLS trend + exact 5-nearest-neighbour regression of the residuals on the
+    scaled features (the nearest-neighbour hybrid); forecasts for the test rows."""
+    from retailcast.operators.hybrid import KnnLearner
+    return _hybrid(spark, sf_dir, True, KnnLearner(k=5, weights="uniform", metric="euclidean"))

@@ -143,3 +143,24 @@ def test_random_trials_in_bounds(spark, bounds):
     for r in sr.random_trials(spark, bounds, 4, seed=3).collect():
         for k, (lo, hi) in bounds.items():
             assert lo <= r[k] <= hi
+
+
+def test_apply_mask_projection(spark):
+    df = spark.createDataFrame([(1, 2, "A", 1.0, 2.0, 3.0)],
+                               "id long, store_nbr long, family string, a double, b double, "
+                               "c double")
+    out = sr.apply_mask(df, ["a", "b", "c"], [0.9, 0.5, 0.51])
+    assert out.columns == ["id", "store_nbr", "family", "a", "c"]
+
+
+def test_permutation_importance_ranks_used_feature(spark):
+    df = spark.range(400).select(F.col("id"), (F.col("id") % 10).cast("double").alias("a"),
+                                 (F.col("id") % 7).cast("double").alias("b"))
+    df = df.withColumn("sales", F.col("a") * 3)
+
+    def predict(x):  # a model that uses only feature a
+        return x.select("id", (F.col("a") * 3).alias("pred"))
+
+    out = {r.feature: r.rise for r in
+           en.permutation_importance(df, ["a", "b"], predict, seed=2).collect()}
+    assert out["a"] > 0.1 and abs(out["b"]) < 1e-12
