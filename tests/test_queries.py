@@ -86,3 +86,19 @@ def test_oracle(spark, duck, name):
 def test_rows_only_queries(spark, name):
     df = se.queries()[name](spark, SF)
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["q_feature_table", "q_knn_regress", "q_trend_slope"])
+def test_same_result_for_any_partitioning(spark, name):
+    """Results do not depend on spark.sql.shuffle.partitions (1 vs 4)."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = se.queries()[name](spark, SF)
+        one = _rows(a.columns, a.collect())
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        b = se.queries()[name](spark, SF)
+        four = _rows(b.columns, b.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == four
