@@ -64,9 +64,11 @@ def base_panel(train: DataFrame, test: DataFrame, stores: DataFrame) -> DataFram
 
 def feature_table(train: DataFrame, test: DataFrame, stores: DataFrame, oil: DataFrame,
                   holidays: DataFrame, start: str = FEATURE_START,
-                  fanout: bool = False) -> DataFrame:
+                  fanout: bool = False, with_target: bool = False) -> DataFrame:
     """X and X_test in one frame (``is_test``), keys + the 35 features, from ``start``.
 
+    ``with_target`` keeps ``sales`` (NULL on test rows): X and y in one table.
+
     Plan shape: the daily panel is aggregated in the main plan, all dimension tables -- stores, the oil
     series, the calendar and the city promotion totals -- are size-checked in
     one job and broadcast, and one hash shuffle by store_nbr serves the store
@@ -101,7 +103,8 @@ def feature_table(train: DataFrame, test: DataFrame, stores: DataFrame, oil: Dat
                              F.col("dcoilwtico") - F.col("dcoilwtico_lag_1"))
     panel = promo_last_days(panel)
     panel = panel.filter(F.col("date") >= F.lit(start).cast("date"))
-    return panel.select("date", *KEY_COLUMNS, *FEATURES, "is_test")
+    return panel.select("date", *KEY_COLUMNS, *FEATURES, "is_test",
+                        *(["sales"] if with_target else []))
 
 
 def target_table(train: DataFrame, start: str = FEATURE_START) -> DataFrame:

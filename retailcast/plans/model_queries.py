@@ -76,8 +76,9 @@ def _x(spark, sf_dir) -> DataFrame:
 
 
 def _features_materialized(spark, sf_dir) -> DataFrame:
-    """The feature table computed once and written to the shared folder for model passes."""
-    return materialize(_feature_table(spark, sf_dir), "features")
+    """The feature table with its target (X and y in one table), computed once and written
+    to the shared folder for the model passes."""
+    return materialize(_feature_table(spark, sf_dir, with_target=True), "features")
 
 
 def _target_materialized(spark, sf_dir) -> DataFrame:
@@ -387,7 +388,7 @@ def q_trend_slope(spark, sf_dir):
 @query("q_ols_series")
 def q_ols_series(spark, sf_dir):
     """Stage-1 coefficients per series on constant, trend, weekly Fourier and quake terms."""
-    x = _features_materialized(spark, sf_dir).filter(~F.col("is_test"))
+    x = _features_materialized(spark, sf_dir).filter(~F.col("is_test")).drop("sales")
     y = si.train_frame(spark, sf_dir).select("date", "store_nbr", "family", "sales")
     hf = HybridForecaster(learner=None)
     dp = DeterministicProcess(1, True, hf.fourier).fit(x)
@@ -438,9 +439,8 @@ def q_knn_regress(spark, sf_dir):
 def _hybrid(spark, sf_dir, boosted: bool, learner):
     allx = _features_materialized(spark, sf_dir)
     x = allx.filter(~F.col("is_test")).drop("is_test")
-    test = allx.filter(F.col("is_test")).drop("is_test")
-    y = _target_materialized(spark, sf_dir)
-    model = HybridForecaster(learner=learner, boosted=boosted).fit(x, y)
+    test = allx.filter(F.col("is_test")).drop("is_test", "sales")
+    model = HybridForecaster(learner=learner, boosted=boosted).fit(x)
     return model.predict(test).select("id", _r("pred", 4))
 
 
@@ -529,8 +529,8 @@ def q_cv_hybrid(spark, sf_dir):
     """4-fold expanding-window CV of the hybrid OLS + random forest on the residuals,
     refitted per fold: per-fold RMSLE and the overall sqrt(mean fold MSLE) as fold 0."""
     allx = _features_materialized(spark, sf_dir)
-    x = allx.filter(~F.col("is_test")).drop("is_test")
-    y = _target_materialized(spark, sf_dir)
+    x = allx.filter(~F.col("is_test")).drop("is_test", "sales")
+    y = allx.filter(~F.col("is_test")).select("date", "store_nbr", "family", "sales")
 
     def fit_predict(tx, ty, vx):
         model = HybridForecaster(learner=make_learner("rf", numTrees=10, maxDepth=6)).fit(tx, ty)

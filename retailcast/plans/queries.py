@@ -205,10 +205,10 @@ def _feature_select(cols):
     return ", ".join(out)
 
 
-def _feature_table(spark, sf_dir):
+def _feature_table(spark, sf_dir, with_target: bool = False):
     train, test, stores = _inputs(spark, sf_dir)
     return ft.feature_table(train, test, stores, si.oil(spark, sf_dir),
-                            si.holidays_events(spark, sf_dir))
+                            si.holidays_events(spark, sf_dir), with_target=with_target)
 
 
 _FT_COLS = ["date", *ft.KEY_COLUMNS, *ft.FEATURES, "is_test"]
