@@ -16,7 +16,7 @@ from retailcast.operators.deterministic import DeterministicProcess
 from retailcast.operators.encode import (FLOAT_TYPES, OneHot, PopulationScaler,
                                          category_dictionary, columns_of_type)
 from retailcast.operators.hybrid import LINEAR_COLUMNS, HybridForecaster, make_learner
-from retailcast.operators.joins import materialize
+from retailcast.operators.joins import join_dimension, materialize
 from retailcast.operators.ols import fit_ols
 from retailcast.plans import features as ft
 from retailcast.plans.oracle import cte, with_ctes
@@ -81,11 +81,6 @@ def _features_materialized(spark, sf_dir) -> DataFrame:
     return materialize(_feature_table(spark, sf_dir, with_target=True), "features")
 
 
-def _target_materialized(spark, sf_dir) -> DataFrame:
-    """y = (date, store_nbr, family, sales) from the feature start, written once."""
-    return materialize(ft.target_table(si.train_frame(spark, sf_dir)), "target")
-
-
 # ------------------------------------------------------------------ sources and sinks
 @query("q_csv_roundtrip", with_ctes(
     "SELECT date, store_nbr, family, " + rnd("sales", 4) + " AS sales FROM train", "train"))
@@ -252,9 +247,9 @@ WHERE b.block > 0 GROUP BY b.block""", ("xrows", "train", "xblocks"))
     "year_lag_fold_msle"))
 def q_rmsle(spark, sf_dir):
     """RMSLE of the previous-year value as the forecast: per fold, and overall as fold 0."""
-    x = _x(spark, sf_dir).select("id", "date", "sales_one_year_lag")
-    y = si.train_frame(spark, sf_dir).select("id", "sales")
-    scored = ev.assign_blocks(x.join(y, "id"), SPLITS).withColumn(
+    x = _feature_table(spark, sf_dir, with_target=True).filter(~F.col("is_test"))
+    scored = ev.assign_blocks(x.select("id", "date", "sales", "sales_one_year_lag"),
+                              SPLITS).withColumn(
         "pred", clip_lower(F.col("sales_one_year_lag")))
     rep = ev.rmsle_report(ev.fold_msle(scored))
     return rep.select(F.col("fold").cast("int").alias("fold"), _r("rmsle", 6))
@@ -376,7 +371,7 @@ def q_trend_slope(spark, sf_dir):
     train = si.train_frame(spark, sf_dir)
     dp = DeterministicProcess(order=1, constant=True, fourier=[]).fit(train)
     terms = dp.in_sample(train).withColumn("t", F.col("trend") / F.lit(float(dp.n_dates)))
-    rows = train.join(F.broadcast(terms.select("date", "const", "t")), "date")
+    rows = join_dimension(train, terms.select("date", "const", "t"), "date", "inner")
     coefs = fit_ols(rows, "sales", ["const", "t"])
     ok = F.col("rank") >= 2
     slope = F.when(ok, F.col("coef")[1] / F.lit(float(dp.n_dates)))
@@ -388,8 +383,7 @@ def q_trend_slope(spark, sf_dir):
 @query("q_ols_series")
 def q_ols_series(spark, sf_dir):
     """Stage-1 coefficients per series on constant, trend, weekly Fourier and quake terms."""
-    x = _features_materialized(spark, sf_dir).filter(~F.col("is_test")).drop("sales")
-    y = si.train_frame(spark, sf_dir).select("date", "store_nbr", "family", "sales")
+    x = _features_materialized(spark, sf_dir).filter(~F.col("is_test"))
     hf = HybridForecaster(learner=None)
     dp = DeterministicProcess(1, True, hf.fourier).fit(x)
     terms = dp.in_sample(x).withColumn("trend", F.col("trend") / F.lit(float(dp.n_dates)))
@@ -397,8 +391,8 @@ def q_ols_series(spark, sf_dir):
         .drop("store_nbr", "family")
     design = terms.join(lin, "date")
     cols = dp.term_columns() + LINEAR_COLUMNS
-    rows = x.select("date", "store_nbr", "family").join(y, ["date", "store_nbr", "family"]) \
-        .join(F.broadcast(design), "date")
+    rows = join_dimension(x.select("date", "store_nbr", "family", "sales"), design, "date",
+                          "inner")
     coefs = fit_ols(rows, "sales", [f"`{c}`" for c in cols])
     names = ["const", "trend", "sin_1", "cos_1", "sin_2", "cos_2", *LINEAR_COLUMNS]
     return coefs.select("store_nbr", "family", "rank", "n",

@@ -135,9 +135,11 @@ def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     ev = ev.select(F.col("event_type").alias("search"), F.col("event_id").alias("trial_id"),
                    "ts", secs.alias("secs"), k.alias("k"), "user_id", "value")
-    # search start: a partial aggregate, then a join to a one-row-per-search table
+    # search start: a partial aggregate, then a size-checked broadcast of the
+    # one-row-per-search table (no shuffle of the events, however hot a search is)
+    from retailcast.operators.joins import join_dimension
     start = ev.groupBy("search").agg(F.min("secs").alias("start"))
-    ev = ev.join(start, "search")
+    ev = join_dimension(ev, start, "search", "inner")
     params = F.struct(
         (1 + 9 * F.col("k") / 100).alias("gamma"),
         (1 / (1 + F.col("user_id").cast("double"))).alias("learning_rate"),
