@@ -46,7 +46,8 @@ def permute_column(df: DataFrame, col: str, key: str = "id", seed: int = 1,
 
 def permutation_importance(scored: DataFrame, features: list[str], predict, y: str = "sales",
                            key: str = "id", seed: int = 1) -> DataFrame:
-    """RMSLE rise when one feature column is shuffled; ``predict(df) -> df(key, pred)``.
+    """RMSLE rise when one feature column is shuffled, sorted by rise;
+    ``predict(df) -> df(key, pred)``.
 
     One scoring job per feature (a driver loop over the feature list only).
     """
@@ -58,4 +59,5 @@ def permutation_importance(scored: DataFrame, features: list[str], predict, y: s
 
     base = score(scored)
     rows = [(f, float(score(permute_column(scored, f, key, seed)) - base)) for f in features]
-    return scored.sparkSession.createDataFrame(rows, "feature string, rise double")
+    return scored.sparkSession.createDataFrame(rows, "feature string, rise double") \
+        .orderBy("rise")

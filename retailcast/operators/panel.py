@@ -95,6 +95,19 @@ def first_difference(df: DataFrame, column: str, name: str, by=SERIES,
     return df.withColumn(name, F.col(column) - F.lag(column, 1).over(series_window(order, by)))
 
 
+def attach_lag_table(df: DataFrame, lags: DataFrame, keys=KEYS) -> DataFrame:
+    """Left-join externally computed lag columns back on (date, store_nbr, family)."""
+    return df.join(lags, list(keys), "left")
+
+
+def rows_on_dates(df: DataFrame, dates: DataFrame, date_col: str = "date") -> DataFrame:
+    """Keep the rows whose date is in ``dates`` (a semi-join; the date list is size-checked
+    and broadcast, so the rows are not shuffled)."""
+    from retailcast.operators.joins import bounded_broadcasts
+    (d,) = bounded_broadcasts(dates.select(date_col).distinct())
+    return df.join(d, date_col, "left_semi")
+
+
 def row_sum(cols: list[str]) -> Column:
     """Horizontal sum skipping NULLs; all NULL gives 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in cols])

@@ -122,3 +122,14 @@ def test_assert_unique_keys(spark):
     except ValueError:
         return
     raise AssertionError("duplicate keys not detected")
+
+
+def test_rows_on_dates_and_lag_table(spark):
+    df = _series(spark, [(D("2020-01-01"), 1, "A", 1.0), (D("2020-01-02"), 1, "A", 2.0),
+                         (D("2020-01-03"), 1, "A", 3.0)])
+    keep = spark.createDataFrame([(D("2020-01-02"),), (D("2020-01-03"),), (D("2020-01-03"),)],
+                                 "date date")
+    assert sorted(r.v for r in pn.rows_on_dates(df, keep).collect()) == [2.0, 3.0]
+    lags = pn.add_lags(df, "v", 1).select("date", "store_nbr", "family", "v_lag_1")
+    back = pn.attach_lag_table(df.drop("v"), lags).orderBy("date").collect()
+    assert [r.v_lag_1 for r in back] == [None, 1.0, 2.0]
