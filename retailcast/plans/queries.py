@@ -16,7 +16,7 @@ from retailcast.functions.dates import date_parts
 from retailcast.operators import calendar as cal
 from retailcast.operators import panel as pn
 from retailcast.operators.joins import join_dimension
-from retailcast.operators.series import interpolate_linear, rolling_mean
+from retailcast.operators.series import interpolate_linear
 from retailcast.plans import features as ft
 from retailcast.plans.oracle import with_ctes
 from retailcast.sources import standins as si

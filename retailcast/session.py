@@ -75,6 +75,26 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               executors_cores: int | None = None) -> dict[str, str]:
+    """Session options for a large run, sized from the input volume.
+
+    Initial shuffle partitions ~ input / 256 MB (AQE then coalesces small
+    ones and splits skewed ones); scans split at 256 MB.  At 100 TB this
+    gives ~400k initial partitions, rounded up to a multiple of the cores.
+    """
+    parts = max(1, -(-int(input_bytes) // target_partition_bytes))
+    if executors_cores:
+        parts = -(-parts // executors_cores) * executors_cores
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -164,3 +164,10 @@ def test_permutation_importance_ranks_used_feature(spark):
     out = {r.feature: r.rise for r in
            en.permutation_importance(df, ["a", "b"], predict, seed=2).collect()}
     assert out["a"] > 0.1 and abs(out["b"]) < 1e-12
+
+
+def test_scale_conf():
+    from retailcast.session import scale_conf
+    conf = scale_conf(100 * 2 ** 40, executors_cores=8000)
+    parts = int(conf["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and parts >= 100 * 2 ** 40 // (256 << 20)
