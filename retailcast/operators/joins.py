@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+def small_table(df: DataFrame) -> DataFrame:
+    """Cache a table expected to be small, narrowed (no shuffle) to at most the cluster's
+    default parallelism: AQE does not coalesce cached plans, so a 200-partition session
+    would otherwise run 200 near-empty tasks for every read of it."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(width).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Return ``small`` with a broadcast hint if its row count is within ``max_rows``.
 
     The table is persisted before it is counted so the count and the join
     read the same rows once; a lost cached block is recomputed from lineage.
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    small = small_table(small)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
 
@@ -26,7 +34,7 @@ def bounded_broadcasts(*smalls: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -
     """Size-check several small tables in one job; hint broadcast on those within the bound."""
     if not smalls:
         return []
-    kept = [t.persist(StorageLevel.MEMORY_AND_DISK) for t in smalls]
+    kept = [small_table(t) for t in smalls]
     counts = kept[0].groupBy().count().withColumn("_i", F.lit(0))
     for i, t in enumerate(kept[1:], start=1):
         counts = counts.unionByName(t.groupBy().count().withColumn("_i", F.lit(i)))
@@ -47,7 +55,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     from retailcast.session import checkpoint_dir
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/retailcast-tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # rebalance: AQE sizes the written partitions (and files) from the data, so a
+    # 200-partition session does not leave 200 tiny files for every later scan
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
