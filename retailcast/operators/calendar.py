@@ -14,8 +14,8 @@ Rules (fixed values of the job):
 
 By default every calendar part is reduced to one row per join key first
 (descriptions of one key joined with '|' in sorted order), so attaching the
-calendar never multiplies panel rows.  ``fanout=True`` joins the raw rows
-instead and reproduces the row multiplication of a plain left join.
+calendar never multiplies panel rows.  ``fanout_counts`` tells how many rows a
+plain left join of the raw parts would give, without building it.
 """
 
 from __future__ import annotations
@@ -127,34 +127,43 @@ def join_calendar_dims(panel: DataFrame, by_date: DataFrame, loc: DataFrame, reg
     return calendar_flags(out, keep_bridge)
 
 
-def attach_calendar(panel: DataFrame, holidays: DataFrame, fanout: bool = False,
-                    keep_bridge: bool = False) -> DataFrame:
+def attach_calendar(panel: DataFrame, holidays: DataFrame, keep_bridge: bool = False) -> DataFrame:
     """Add holiday, holiday_description, event, time_since_quake(_sq), workday.
 
     ``panel`` needs date, city and state.  Calendar tables are keyed by date or
     (date, place) and bounded by the calendar, so they are broadcast after a
-    row-count check.
+    size check.
     """
-    if fanout:
-        parts = split_calendar(holidays)
-        nat = parts["national"].withColumnRenamed("description", "_nat")
-        br = parts["bridge"]
-        loc = parts["local"].select("date", F.col("locale_name").alias("city"),
-                                    F.col("description").alias("_loc"))
-        reg = parts["regional"].select("date", F.col("locale_name").alias("state"),
-                                       F.col("description").alias("_reg"))
-        ev = parts["event"].withColumnRenamed("description", "_event")
-        qk = parts["quake"]
-        dims = bounded_broadcasts(nat, br, loc, reg, ev, qk)
-        out = panel
-        for dim, on in zip(dims, ("date", "date", ["date", "city"], ["date", "state"], "date",
-                                  "date")):
-            out = out.join(dim, on, "left")
-        return calendar_flags(out, keep_bridge)
     return join_calendar_dims(panel, *bounded_broadcasts(*calendar_dims(holidays)),
                               keep_bridge=keep_bridge)
 
 
+def fanout_counts(panel: DataFrame, holidays: DataFrame) -> DataFrame:
+    """(date, n_rows): rows that a plain left join of the raw calendar parts would give.
+
+    The join is never built: each part is counted by its key, and a panel row counts as the
+    product of its keys' counts (1 where there is none).
+    """
+    parts = split_calendar(holidays)
+
+    def counts(name: str, n: str, *on) -> DataFrame:
+        return parts[name].groupBy("date", *on).agg(F.count(F.lit(1)).alias(n))
+    by_date = None
+    for name in ("national", "bridge", "event", "quake"):
+        c = counts(name, f"_{name}")
+        by_date = c if by_date is None else by_date.join(c, "date", "full")
+    loc = counts("local", "_local", F.col("locale_name").alias("city"))
+    reg = counts("regional", "_regional", F.col("locale_name").alias("state"))
+    by_date, loc, reg = bounded_broadcasts(by_date, loc, reg)
+    keys = panel.groupBy("date", "city", "state").agg(F.count(F.lit(1)).alias("_rows"))
+    out = (keys.join(by_date, "date", "left").join(loc, ["date", "city"], "left")
+           .join(reg, ["date", "state"], "left"))
+    n = F.col("_rows")
+    for c in ("_national", "_bridge", "_event", "_quake", "_local", "_regional"):
+        n = n * F.coalesce(F.col(c), F.lit(1))
+    return out.groupBy("date").agg(F.sum(n).alias("n_rows"))
+
+
 def calendar_flags(out: DataFrame, keep_bridge: bool = False) -> DataFrame:
     hol = F.col("_nat").isNotNull() | F.col("_loc").isNotNull() | F.col("_reg").isNotNull()
     descr = F.concat(F.coalesce(F.col("_nat"), F.lit("")), F.coalesce(F.col("_loc"), F.lit("")),

@@ -21,27 +21,38 @@ def blend(predictions: DataFrame, scores: DataFrame, key: str = "id",
     return p.groupBy(key).agg((F.sum(F.col(pred) * F.col("_w")) / F.sum("_w")).alias(out))
 
 
-def long_predictions(df: DataFrame, key: str, model_cols: list[str]) -> DataFrame:
-    """Wide prediction columns -> (key, model, pred)."""
-    return df.unpivot([key], model_cols, "model", "pred")
+def long_predictions(df: DataFrame, keys: list[str], model_cols: list[str]) -> DataFrame:
+    """Wide prediction columns -> (keys..., model, pred)."""
+    return df.unpivot(list(keys), model_cols, "model", "pred")
 
 
-def permute_column(df: DataFrame, col: str, key: str = "id", seed: int = 1,
-                   bucket_rows: int = 1_000_000) -> DataFrame:
-    """Seeded shuffle of one column's values across rows.
+RANK_BUCKETS = 1024
 
-    Rows fall into hash buckets of about ``bucket_rows`` rows; inside each
-    bucket the values are re-dealt by a second hashed order (window per
-    bucket, never a global sort), so the work spreads over all buckets.
+
+def _ranked(df: DataFrame, order) -> DataFrame:
+    """``df`` with ``_rk``, its row number from 0 in the order of the 64-bit ``order``.
+
+    Ranges of the hash are counted first, then each is numbered by itself, so the numbering
+    is one over all rows and no task sorts more than a range.
+    """
+    d = df.withColumn("_h", order).withColumn("_b", F.shiftrightunsigned("_h", 54))
+    sums = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_key")) - 1
+    return (d.withColumn("_at", at).join(F.broadcast(sums), "_b")  # RANK_BUCKETS rows at most
+            .withColumn("_rk", F.col("_before") + F.col("_at")).drop("_h", "_b", "_at", "_before"))
+
+
+def permute_column(df: DataFrame, col: str, key: str = "id", seed: int = 1) -> DataFrame:
+    """Seeded shuffle of one column's values over all rows.
+
+    Rows are numbered in one hashed order of their keys and values in another; equal numbers
+    meet. One rule at every size: any value can come to any row.
     """
-    n = df.count()
-    buckets = max(1, -(-n // bucket_rows))
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets))
-    recv = df.withColumn("_b", b).withColumn(
-        "_rk", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    give = df.select(F.col(col).alias("_v"), b.alias("_b"), F.row_number().over(
-        Window.partitionBy(b).orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), key)).alias("_rk"))
-    return recv.join(give, ["_b", "_rk"]).drop(col, "_b", "_rk").withColumnRenamed("_v", col)
+    recv = _ranked(df.withColumn("_key", F.col(key)), F.xxhash64(F.lit(seed), "_key")).drop("_key")
+    give = _ranked(df.select(F.col(col).alias("_v"), F.col(key).alias("_key")),
+                   F.xxhash64(F.lit(seed + 1), "_key")).drop("_key")
+    return recv.join(give, "_rk").drop(col, "_rk").withColumnRenamed("_v", col)
 
 
 def permutation_importance(scored: DataFrame, features: list[str], predict, y: str = "sales",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when its counted rows stay under this bound; above
+# A side is broadcast only when the measured bytes of its rows stay under this bound; above
 # it the join is left to a shuffle join (AQE may still split skewed keys).
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 
 
 def small_table(df: DataFrame) -> DataFrame:
@@ -19,27 +22,36 @@ def small_table(df: DataFrame) -> DataFrame:
     return df.coalesce(width).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``small`` with a broadcast hint if its row count is within ``max_rows``.
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 16 for each column, and the text or elements it holds."""
+    width = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            width = width + 16 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return width
 
-    The table is persisted before it is counted so the count and the join
-    read the same rows once; a lost cached block is recomputed from lineage.
-    """
-    small = small_table(small)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+
+def bounded_broadcast(small: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``small`` with a broadcast hint if its rows measure no more than ``max_bytes``."""
+    return bounded_broadcasts(small, max_bytes=max_bytes)[0]
 
 
-def bounded_broadcasts(*smalls: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> list[DataFrame]:
-    """Size-check several small tables in one job; hint broadcast on those within the bound."""
+def bounded_broadcasts(*smalls: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> list[DataFrame]:
+    """Measure several small tables in one job; hint broadcast on those within the bound.
+
+    The tables are persisted before they are measured so the measure and the join read the
+    same rows once; a lost cached block is recomputed from lineage.
+    """
     if not smalls:
         return []
     kept = [small_table(t) for t in smalls]
-    counts = kept[0].groupBy().count().withColumn("_i", F.lit(0))
-    for i, t in enumerate(kept[1:], start=1):
-        counts = counts.unionByName(t.groupBy().count().withColumn("_i", F.lit(i)))
-    n = {r["_i"]: r["count"] for r in counts.collect()}
-    return [F.broadcast(t) if n[i] <= max_rows else t for i, t in enumerate(kept)]
+    sums = [t.agg(F.coalesce(F.sum(row_bytes(t)), F.lit(0)).alias("b")).withColumn("_i", F.lit(i))
+            for i, t in enumerate(kept)]
+    n = {r["_i"]: r["b"] for r in reduce(DataFrame.unionByName, sums).collect()}
+    return [F.broadcast(t) if n[i] <= max_bytes else t for i, t in enumerate(kept)]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -62,6 +74,6 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Equi-join ``fact`` to ``dim``: broadcast hash join when ``dim`` is proven small."""
-    return fact.join(bounded_broadcast(dim, max_rows), on, how)
+    return fact.join(bounded_broadcast(dim, max_bytes), on, how)

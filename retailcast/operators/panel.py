@@ -28,41 +28,31 @@ def store_join(fact: DataFrame, stores: DataFrame, keep_cluster: bool = False) -
     return join_dimension(fact, dim, "store_nbr", "left")
 
 
-def group_total(df: DataFrame, keys, value: str, name: str,
-                exclude_self: bool = False) -> DataFrame:
-    """Add ``name`` = sum of ``value`` over rows sharing ``keys`` (own row included).
-
-    Rows with a NULL key get NULL (join semantics).  ``exclude_self`` subtracts
-    the row's own value.
-    """
-    keys = list(keys)
-    totals = df.groupBy(*keys).agg(F.sum(value).alias(name))
-    out = df.join(totals, keys, "left")
-    if exclude_self:
-        out = out.withColumn(name, F.col(name) - F.coalesce(F.col(value), F.lit(0)))
-    return out
-
-
 def city_promo_totals(df: DataFrame) -> DataFrame:
     """(date, city, family) -> total_other_city_promo; bounded by calendar x cities x families."""
     return df.groupBy("date", "city", "family").agg(
         F.sum("onpromotion").alias("total_other_city_promo"))
 
 
+def store_promo_totals(df: DataFrame) -> DataFrame:
+    """(date, store_nbr) -> total_other_promo_store; bounded by calendar x stores."""
+    return df.groupBy("date", "store_nbr").agg(
+        F.sum("onpromotion").alias("total_other_promo_store"))
+
+
 def promo_totals(df: DataFrame, exclude_self: bool = False,
-                 city_totals: DataFrame | None = None) -> DataFrame:
+                 city_totals: DataFrame | None = None,
+                 store_totals: DataFrame | None = None) -> DataFrame:
     """total_other_promo_store by (date, store_nbr); total_other_city_promo by (date, city, family).
 
-    The store total is a window sum: with the panel hash-partitioned by
-    store_nbr (see ``partition_by_store``) it needs no extra shuffle, and a
-    (date, store) group holds at most one row per family.  The city total is
-    a partial aggregate joined back; pass it size-checked as ``city_totals``
-    to have it broadcast.  Rows with a NULL city get NULL (join semantics).
+    Both totals are partial aggregates joined back, so a store or city with a large share of
+    the rows is summed map-side; pass them size-checked to have them broadcast.  Rows with a
+    NULL city get NULL (join semantics).
     """
-    totals = city_totals if city_totals is not None else city_promo_totals(df)
-    df = df.join(totals, ["date", "city", "family"], "left")
-    df = df.withColumn("total_other_promo_store",
-                       F.sum("onpromotion").over(Window.partitionBy("date", "store_nbr")))
+    city = city_totals if city_totals is not None else city_promo_totals(df)
+    store = store_totals if store_totals is not None else store_promo_totals(df)
+    df = (df.join(city, ["date", "city", "family"], "left")
+          .join(store, ["date", "store_nbr"], "left"))
     if exclude_self:
         own = F.coalesce(F.col("onpromotion"), F.lit(0))
         df = df.withColumns({"total_other_promo_store": F.col("total_other_promo_store") - own,
@@ -70,10 +60,10 @@ def promo_totals(df: DataFrame, exclude_self: bool = False,
     return df
 
 
-def partition_by_store(df: DataFrame) -> DataFrame:
-    """Hash-partition by store_nbr: satisfies every later window keyed by (date, store_nbr),
-    (store_nbr, family) or (store_nbr, family, dayofyear) with this single shuffle."""
-    return df.repartition("store_nbr")
+def partition_by_series(df: DataFrame) -> DataFrame:
+    """Hash-partition by (store_nbr, family): satisfies every later window of a series, also
+    those by its day of the year, with this single shuffle; a group is one series."""
+    return df.repartition(*SERIES)
 
 
 def add_lags(df: DataFrame, column: str, lags: int, by=SERIES, order: str = "date") -> DataFrame:
@@ -90,11 +80,6 @@ def year_lag(df: DataFrame, column: str, by=SERIES, order: str = "date") -> Data
                          F.coalesce(F.lag(column, 1).over(w), F.lit(0.0)).cast("double"))
 
 
-def first_difference(df: DataFrame, column: str, name: str, by=SERIES,
-                     order: str = "date") -> DataFrame:
-    return df.withColumn(name, F.col(column) - F.lag(column, 1).over(series_window(order, by)))
-
-
 def attach_lag_table(df: DataFrame, lags: DataFrame, keys=KEYS) -> DataFrame:
     """Left-join externally computed lag columns back on (date, store_nbr, family)."""
     return df.join(lags, list(keys), "left")
@@ -117,6 +102,24 @@ def columns_with_prefix(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
 
 
+def pivot_series(df: DataFrame, keys=("date", "store_nbr"), column: str = "family",
+                 value: str = "sales", levels: list[str] | None = None) -> DataFrame:
+    """One column per level of ``column`` (its sum of ``value``); one row per ``keys``.
+
+    A column per level needs the levels: they are read from ``df`` unless given.
+    """
+    if levels is None:
+        levels = sorted(r[0] for r in df.select(column).distinct().collect())
+    return df.groupBy(*keys).pivot(column, levels).agg(F.sum(value))
+
+
+def unpivot_series(wide: DataFrame, keys=("date", "store_nbr"), column: str = "family",
+                   value: str = "sales") -> DataFrame:
+    """Back to one row per (keys, level); cells without a value are left out."""
+    levels = [c for c in wide.columns if c not in keys]
+    return wide.unpivot(list(keys), levels, column, value).filter(F.col(value).isNotNull())
+
+
 def promo_last_days(df: DataFrame, prefix: str = "onpromotion_lag",
                     name: str = "promo_last_7_days") -> DataFrame:
     return df.withColumn(name, row_sum(columns_with_prefix(df, prefix)).cast("double"))

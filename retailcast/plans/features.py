@@ -1,10 +1,9 @@
 """The feature-table plan: stores, promotion totals, calendar, oil, date parts, lags.
 
-One lazy plan over the union of train and test rows.  After the daily
-aggregation the panel is shuffled once more, by store_nbr, which serves the
-(date, store_nbr) promotion total and all per-series windows.  Store,
-calendar, oil and city-total tables are joined by broadcast after a size
-check.
+The daily panel (train and test rows together) is aggregated once and written to the shared
+folder; dates, promotion totals and the main plan read it from there. It is shuffled once, by
+(store_nbr, family), for all per-series windows. Store, calendar, oil and total tables are
+joined by broadcast after a check of their bytes.
 """
 
 from __future__ import annotations
@@ -13,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retailcast.functions.dates import date_parts
-from retailcast.operators.calendar import attach_calendar, calendar_dims, join_calendar_dims
-from retailcast.operators.joins import bounded_broadcasts
-from retailcast.operators.panel import (add_lags, city_promo_totals, partition_by_store,
-                                        promo_last_days, promo_totals, union_panel, year_lag)
+from retailcast.operators.calendar import calendar_dims, join_calendar_dims
+from retailcast.operators.joins import bounded_broadcasts, materialize
+from retailcast.operators.panel import (add_lags, assert_unique_keys, city_promo_totals,
+                                        partition_by_series, promo_last_days, promo_totals,
+                                        store_promo_totals, union_panel, year_lag)
 from retailcast.operators.series import interpolate_linear, rolling_mean
 
 # First date kept in X (after one year of history for the lags),
@@ -24,7 +24,6 @@ from retailcast.operators.series import interpolate_linear, rolling_mean
 FEATURE_START = "1996-01-01"
 N_LAGS = 7
 OIL_WINDOW = 30
-OIL_DECIMALS = 6
 KEY_COLUMNS = ["id", "store_nbr", "family"]
 
 FEATURES = sorted(
@@ -36,11 +35,6 @@ FEATURES = sorted(
     + [f"onpromotion_lag_{k}" for k in range(1, N_LAGS + 1)])
 
 
-def canonical_order(df: DataFrame, keys=KEY_COLUMNS) -> list[str]:
-    """Keys first, the rest sorted by name in byte order (capitals first)."""
-    return list(keys) + sorted(c for c in df.columns if c not in keys)
-
-
 def oil_series(dates: DataFrame, oil: DataFrame, window: int = OIL_WINDOW) -> DataFrame:
     """Oil price on every panel date: linear gap fill, then a ``window``-day mean.
 
@@ -50,64 +44,48 @@ def oil_series(dates: DataFrame, oil: DataFrame, window: int = OIL_WINDOW) -> Da
     days = dates.select("date").distinct()
     s = days.join(oil.select("date", "dcoilwtico"), "date", "left")
     s = interpolate_linear(s, "dcoilwtico", "date")
-    s = rolling_mean(s, "dcoilwtico", window, 1, "date")
-    # fixed precision of the smoothed price (round(x * 10^6) / 10^6)
-    scale = 10.0 ** OIL_DECIMALS
-    return s.withColumn("dcoilwtico", F.round(F.col("dcoilwtico") * scale) / scale)
+    return rolling_mean(s, "dcoilwtico", window, 1, "date")
 
 
-def base_panel(train: DataFrame, test: DataFrame, stores: DataFrame) -> DataFrame:
-    """Union panel + store attributes + promotion totals."""
-    panel = union_panel(train, test).join(stores.drop("cluster"), "store_nbr", "left")
-    return promo_totals(partition_by_store(panel))
+def promo_panel(panel: DataFrame, stores: DataFrame) -> DataFrame:
+    """The (written) union panel + store attributes + promotion totals."""
+    (stores_b,) = bounded_broadcasts(stores.drop("cluster"))
+    with_stores = panel.join(stores_b, "store_nbr", "left")
+    city, store = bounded_broadcasts(city_promo_totals(with_stores), store_promo_totals(panel))
+    return promo_totals(with_stores, city_totals=city, store_totals=store)
 
 
 def feature_table(train: DataFrame, test: DataFrame, stores: DataFrame, oil: DataFrame,
                   holidays: DataFrame, start: str = FEATURE_START,
-                  fanout: bool = False, with_target: bool = False) -> DataFrame:
-    """X and X_test in one frame (``is_test``), keys + the 35 features, from ``start``.
+                  with_target: bool = False) -> DataFrame:
+    """X and X_test in one frame (``is_test``), keys + the 35 features, from ``start``."""
+    panel = materialize(union_panel(train, test), "panel")
+    return features_of_panel(panel, stores, oil, holidays, start, with_target)
 
-    ``with_target`` keeps ``sales`` (NULL on test rows): X and y in one table.
 
-    Plan shape: the daily panel is aggregated in the main plan, all dimension tables -- stores, the oil
-    series, the calendar and the city promotion totals -- are size-checked in
-    one job and broadcast, and one hash shuffle by store_nbr serves the store
-    total and every per-series window.
+def features_of_panel(panel: DataFrame, stores: DataFrame, oil: DataFrame, holidays: DataFrame,
+                      start: str = FEATURE_START, with_target: bool = False) -> DataFrame:
+    """The feature table of a written union panel; raises where a key occurs twice.
+
+    ``with_target`` keeps ``sales`` (NULL on test rows): X and y in one table.
     """
-    # no cache of the panel: the dimension job needs only its dates (a distinct over a
-    # grouping key, which the optimizer reads straight from the scan) and the city totals
-    up = union_panel(train, test)
-    # the store table first: the city totals are built over its broadcast join
+    assert_unique_keys(panel)
     (stores_b,) = bounded_broadcasts(stores.drop("cluster"))
-    city = city_promo_totals(up.join(stores_b.select("store_nbr", "city"), "store_nbr", "left"))
-    if fanout:
-        oil_b, city_b = bounded_broadcasts(oil_series(up, oil), city)
-    else:
-        oil_b, city_b, by_date, loc, reg = bounded_broadcasts(
-            oil_series(up, oil), city, *calendar_dims(holidays))
-    panel = partition_by_store(up.join(stores_b, "store_nbr", "left"))
-    panel = promo_totals(panel, city_totals=city_b)
-    if fanout:
-        panel = attach_calendar(panel, holidays, fanout=True)
-    else:
-        panel = join_calendar_dims(panel, by_date, loc, reg)
-    panel = panel.join(oil_b, "date", "left")
-    panel = date_parts(panel)
-    panel = panel.withColumns({c: F.col(c).cast("double") for c in
-                               ("onpromotion", "total_other_promo_store",
-                                "total_other_city_promo")})
-    panel = add_lags(panel, "onpromotion", N_LAGS)
-    panel = add_lags(panel, "dcoilwtico", N_LAGS)
-    panel = year_lag(panel, "sales")
-    panel = panel.withColumn("Change_in_oil_prices",
-                             F.col("dcoilwtico") - F.col("dcoilwtico_lag_1"))
-    panel = promo_last_days(panel)
-    panel = panel.filter(F.col("date") >= F.lit(start).cast("date"))
-    return panel.select("date", *KEY_COLUMNS, *FEATURES, "is_test",
-                        *(["sales"] if with_target else []))
-
-
-def target_table(train: DataFrame, start: str = FEATURE_START) -> DataFrame:
-    """y: (date, store_nbr, family, sales) from ``start``."""
-    return (train.filter(F.col("date") >= F.lit(start).cast("date"))
-            .select("date", "store_nbr", "family", "sales"))
+    with_stores = panel.join(stores_b, "store_nbr", "left")
+    oil_b, city_b, store_b, by_date, loc, reg = bounded_broadcasts(
+        oil_series(panel, oil), city_promo_totals(with_stores), store_promo_totals(panel),
+        *calendar_dims(holidays))
+    x = partition_by_series(panel).join(stores_b, "store_nbr", "left")
+    x = promo_totals(x, city_totals=city_b, store_totals=store_b)
+    x = join_calendar_dims(x, by_date, loc, reg)
+    x = date_parts(x.join(oil_b, "date", "left"))
+    x = x.withColumns({c: F.col(c).cast("double") for c in
+                       ("onpromotion", "total_other_promo_store", "total_other_city_promo")})
+    x = add_lags(x, "onpromotion", N_LAGS)
+    x = add_lags(x, "dcoilwtico", N_LAGS)
+    x = year_lag(x, "sales")
+    x = x.withColumn("Change_in_oil_prices", F.col("dcoilwtico") - F.col("dcoilwtico_lag_1"))
+    x = promo_last_days(x)
+    x = x.filter(F.col("date") >= F.lit(start).cast("date"))
+    return x.select("date", *KEY_COLUMNS, *FEATURES, "is_test",
+                    *(["sales"] if with_target else []))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,14 @@ from retailcast.operators import search as sr
 from retailcast.operators.deterministic import DeterministicProcess
 from retailcast.operators.encode import (FLOAT_TYPES, OneHot, PopulationScaler,
                                          category_dictionary, columns_of_type)
-from retailcast.operators.hybrid import LINEAR_COLUMNS, HybridForecaster, make_learner
+from retailcast.operators.hybrid import (LINEAR_COLUMNS, DataPreparation, HybridForecaster, KnnLearner,
+                                         ZeroLearner, make_learner)
 from retailcast.operators.joins import join_dimension, materialize
-from retailcast.operators.ols import fit_ols
+from retailcast.operators.ols import fit_ols, predict_ols
 from retailcast.plans import features as ft
+from retailcast.plans.entry import prepare_from_files
 from retailcast.plans.oracle import cte, with_ctes
-from retailcast.plans.queries import _feature_table, _r, _upanel, query, rnd
+from retailcast.plans.queries import _FT_COLS, _ROUND4, _feature_select, _feature_table, _r, _r46, _upanel, _written_panel, query, rnd
 from retailcast.sources import io
 from retailcast.sources import schemas as sc
 from retailcast.sources import standins as si
@@ -36,23 +38,26 @@ SELECT date, pos, CASE WHEN pos < n - {SPLITS} * (n // {SPLITS + 1}) THEN 0
 FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n
       FROM (SELECT DISTINCT date FROM xrows) d) x""", ("xrows",))
 cte("naive", """
-SELECT id, date, store_nbr, family, sales,
-       coalesce(lag(sales, 1) OVER s, 0) AS lag_1,
+SELECT id, date, store_nbr, family, sales, is_test,
+       coalesce(last_value(sales IGNORE NULLS) OVER earlier, 0) AS lag_1,
        coalesce(avg(sales) OVER (PARTITION BY store_nbr, family ORDER BY date
-                                 ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS mean_7,
+                                 ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+                last_value(sales IGNORE NULLS) OVER earlier, 0) AS mean_7,
        coalesce(lag(sales, 1) OVER (PARTITION BY store_nbr, family, dayofyear(date)
                                     ORDER BY date), 0) AS year_lag
-FROM train WINDOW s AS (PARTITION BY store_nbr, family ORDER BY date)""", ("train",))
+FROM upanel WINDOW earlier AS (PARTITION BY store_nbr, family ORDER BY date
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", ("upanel",))
 cte("naive_long", """
-SELECT n.*, b.block FROM (
-  SELECT id, date, sales, 'lag_1' AS model, lag_1 AS pred FROM naive
-  UNION ALL SELECT id, date, sales, 'mean_7', mean_7 FROM naive
-  UNION ALL SELECT id, date, sales, 'year_lag', year_lag FROM naive) n
-JOIN xblocks b ON n.date = b.date""", ("naive", "xblocks"))
+SELECT id, date, sales, is_test, 'lag_1' AS model, lag_1 AS pred FROM naive
+UNION ALL SELECT id, date, sales, is_test, 'mean_7', mean_7 FROM naive
+UNION ALL SELECT id, date, sales, is_test, 'year_lag', year_lag FROM naive""", ("naive",))
+cte("naive_scored", """
+SELECT n.*, b.block FROM naive_long n JOIN xblocks b ON n.date = b.date WHERE NOT n.is_test""",
+    ("naive_long", "xblocks"))
 cte("naive_cv", """
 SELECT model, sqrt(avg(msle)) AS cv FROM (
   SELECT model, block, avg(pow(ln(1 + sales) - ln(1 + pred), 2)) AS msle
-  FROM naive_long WHERE block > 0 GROUP BY 1, 2) f GROUP BY model""", ("naive_long",))
+  FROM naive_scored WHERE block > 0 GROUP BY 1, 2) f GROUP BY model""", ("naive_scored",))
 cte("trials", """
 SELECT search, trial_id, target,
        {'gamma': 1 + 9 * k / 100, 'learning_rate': 1 / (1 + CAST(user_id AS DOUBLE)),
@@ -118,21 +123,17 @@ FAMILIES_SQL = ("A", "N", "R")  # l_returnflag domain of the driver tables
     + " FROM train GROUP BY date, store_nbr", "train"))
 def q_pivot_series(spark, sf_dir):
     """(date, store_nbr) x family sales matrix; the family levels are read from the data."""
-    t = si.train_frame(spark, sf_dir)
-    levels = sorted(r[0] for r in t.select("family").distinct().collect())  # bounded domain
-    wide = t.groupBy("date", "store_nbr").pivot("family", levels).agg(F.sum("sales"))
-    return wide.select("date", "store_nbr", *[_r(v, 4) for v in levels])
+    panel = _written_panel(spark, sf_dir).filter(~F.col("is_test"))
+    wide = pn.pivot_series(panel)
+    return wide.select("date", "store_nbr", *[_r(v, 4) for v in wide.columns[2:]])
 
 
 @query("q_unpivot_series", with_ctes(
     "SELECT date, store_nbr, family, " + rnd("sales", 4) + " AS sales FROM train", "train"))
 def q_unpivot_series(spark, sf_dir):
-    t = si.train_frame(spark, sf_dir)
-    levels = sorted(r[0] for r in t.select("family").distinct().collect())
-    wide = t.groupBy("date", "store_nbr").pivot("family", levels).agg(F.sum("sales"))
-    long = wide.unpivot(["date", "store_nbr"], levels, "family", "sales") \
-        .filter(F.col("sales").isNotNull())
-    return long.select("date", "store_nbr", "family", _r("sales", 4))
+    """The pivoted matrix back in long form."""
+    panel = _written_panel(spark, sf_dir).filter(~F.col("is_test"))
+    return pn.unpivot_series(pn.pivot_series(panel)).select("date", "store_nbr", "family", _r("sales", 4))
 
 
 # ------------------------------------------------------------------ encoders
@@ -176,19 +177,30 @@ def q_scale_by_dtype(spark, sf_dir):
     return scaled.select("id", *[_r(c, 6) for c in floats])
 
 
-_OH = {"type": ["A", "B", "C", "D", "E"], "family": list(FAMILIES_SQL)}
-
-
 @query("q_onehot", with_ctes(
-    "SELECT id, " + ", ".join(
-        f"CAST(coalesce(CAST({c} AS VARCHAR) = '{v}', false) AS INTEGER) AS oh_{c}_{v}"
-        for c, vs in _OH.items() for v in vs
-        ) + " FROM features", "features"))
+    "SELECT id, 'oh_type_' || type || ',oh_family_' || family AS hot FROM features", "features"))
 def q_onehot(spark, sf_dir):
-    """One 0/1 column per level of the declared type and family domains; others are zeros."""
-    allx = _feature_table(spark, sf_dir)
-    model = OneHot(prefix="oh_", levels=_OH).fit(allx)
-    return model.transform(allx, drop=False).select("id", *model.output_columns())
+    """One 0/1 column per level of store type and family, fitted on the rows; the names of each row's ones."""
+    allx = materialize(_feature_table(spark, sf_dir).select("id", "type", "family"), "levels")
+    model = OneHot(["type", "family"], prefix="oh_").fit(allx)
+    names = F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in model.output_columns()])
+    return model.transform(allx, drop=False).select("id", F.array_join(names, ",").alias("hot"))
+
+
+_X2_CATS = ["city", "event", "family", "holiday", "holiday_description", "payday", "state", "type", "workday"]
+_X2_REST = ["day", "dayofyear", "month", "store_nbr", "year"]
+
+
+@query("q_prepare", with_ctes(
+    "SELECT id, " + ", ".join(_scaled_sql(c) for c in _FLOATS) + ", " + ", ".join(
+        f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1 END AS {c}"
+        for c in _X2_CATS) + ", " + ", ".join(_X2_REST) + " FROM xrows", "xrows"))
+def q_prepare(spark, sf_dir):
+    """X_2 of the boosted hybrid by the fitted preparation step: every feature but the date and the
+    linear columns; floats scaled, categories coded, store_nbr and family kept."""
+    x = materialize(_x(spark, sf_dir), "x")
+    prepared = DataPreparation("nominal").fit(x)
+    return prepared.columns(x).select("id", *[_r(c, 6) if c in prepared.floats else c for c in sorted(prepared.names)])
 
 
 _DP_COLS = ["const", "trend", "trend_2", "sin_1", "cos_1", "sin_2", "cos_2"]
@@ -255,27 +267,33 @@ def q_rmsle(spark, sf_dir):
     return rep.select(F.col("fold").cast("int").alias("fold"), _r("rmsle", 6))
 
 
-def naive_predictions(train: DataFrame) -> DataFrame:
-    """Previous row, mean of the previous 7 rows and previous-year value; NULL -> 0."""
+NAIVE = ["lag_1", "mean_7", "year_lag"]
+
+
+def naive_predictions(panel: DataFrame) -> DataFrame:
+    """Last known sales, mean of the previous 7 rows (or the last known) and previous-year value for
+    train and test rows of a panel; 0 where there is none. Windows of one series each."""
     w = pn.series_window()
-    p = pn.year_lag(train, "sales")
-    p = p.withColumns({
-        "lag_1": F.coalesce(F.lag("sales", 1).over(w), F.lit(0.0)),
-        "mean_7": F.coalesce(F.avg("sales").over(w.rowsBetween(-7, -1)), F.lit(0.0)),
+    known = F.last("sales", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    p = pn.year_lag(pn.partition_by_series(panel), "sales").withColumns({
+        "lag_1": F.coalesce(known, F.lit(0.0)),
+        "mean_7": F.coalesce(F.avg("sales").over(w.rowsBetween(-7, -1)), known, F.lit(0.0)),
     }).withColumnRenamed("sales_one_year_lag", "year_lag")
     return p.filter(F.col("date") >= F.lit(ft.FEATURE_START).cast("date"))
 
 
-def _naive_scored(spark, sf_dir):
-    p = naive_predictions(si.train_frame(spark, sf_dir))
-    longp = en.long_predictions(p.select("id", "date", "sales", "lag_1", "mean_7", "year_lag")
-                                .withColumnRenamed("id", "rid"), "rid", ["lag_1", "mean_7",
-                                                                       "year_lag"])
-    longp = longp.join(p.select(F.col("id").alias("rid"), "date", "sales"), "rid")
-    return ev.assign_blocks(longp, SPLITS)
+def _naive(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(long forecasts of all rows, those of training rows with their block)."""
+    panel = _written_panel(spark, sf_dir)
+    wide = naive_predictions(panel).select("id", "date", "sales", "is_test", *NAIVE)
+    longp = materialize(en.long_predictions(wide, ["id", "date", "sales", "is_test"], NAIVE), "naive")
+    blocks = ev.date_blocks(panel.filter(~F.col("is_test") & (F.col("date") >= F.lit(ft.FEATURE_START).cast("date"))), SPLITS).drop("pos")
+    scored = join_dimension(longp.filter(~F.col("is_test")), blocks, "date", "inner")
+    return longp, scored
 
 
 def _naive_cv(scored):
+    ev.require_scored(scored)
     fm = ev.fold_msle(scored, "sales", "pred", by=("model",))
     return fm.groupBy("model").agg(F.sqrt(F.avg("msle")).alias("cv"))
 
@@ -284,20 +302,34 @@ def _naive_cv(scored):
     f"SELECT model, {rnd('cv', 6)} AS cv FROM naive_cv", "naive_cv"))
 def q_cv_scores(spark, sf_dir):
     """Time-series CV score (sqrt of mean fold MSLE) of three naive forecasters."""
-    return _naive_cv(_naive_scored(spark, sf_dir)).select("model", _r("cv", 6))
+    return _naive_cv(_naive(spark, sf_dir)[1]).select("model", _r("cv", 6))
 
 
-@query("q_ensemble", with_ctes(
+_BLEND_SQL = with_ctes(
     f"SELECT id, {rnd('sum(pred / cv) / sum(1 / cv)', 4)} AS sales FROM naive_long "
-    "JOIN naive_cv USING (model) GROUP BY id", "naive_long", "naive_cv"))
+    "JOIN naive_cv USING (model) WHERE is_test GROUP BY id", "naive_long", "naive_cv")
+
+
+@query("q_ensemble", _BLEND_SQL)
 def q_ensemble(spark, sf_dir):
-    """Blend of the naive forecasters weighted by 1 / CV-RMSLE, per row id."""
-    scored = _naive_scored(spark, sf_dir).persist()
-    scores = _naive_cv(scored)
-    blended = en.blend(scored.select(F.col("rid").alias("id"), "model", "pred"), scores)
+    """Test-row forecasts of the naive forecasters, blended by 1 / RMSLE of the training folds."""
+    longp, scored = _naive(spark, sf_dir)
+    blended = en.blend(longp.filter("is_test").select("id", "model", "pred"), _naive_cv(scored))
     return blended.select("id", _r("sales", 4))
 
 
+@query("q_perm_importance", with_ctes(
+    "SELECT 'mean_7' AS feature, count(*) > 1 AS matters FROM naive UNION ALL SELECT 'year_lag', false", "naive"))
+def q_perm_importance(spark, sf_dir):
+    """Permutation importance of two columns for a forecaster that uses one of them (mean_7): the error
+    changes for that one alone."""
+    wide = naive_predictions(_written_panel(spark, sf_dir)).filter(~F.col("is_test"))
+    wide = materialize(wide.select("id", "sales", "mean_7", "year_lag"), "importance")
+    rise = en.permutation_importance(wide, ["mean_7", "year_lag"],
+                                     lambda df: df.select("id", F.col("mean_7").alias("pred")))
+    return rise.select("feature", (F.abs("rise") > 1e-9).alias("matters"))
+
+
 # ------------------------------------------------------------------ searches
 def _trials_roundtrip(spark, sf_dir) -> DataFrame:
     """Write the trial log as JSON lines (one folder per search) and read it back."""
@@ -347,7 +379,8 @@ _MASK_FEATURES = list(ft.FEATURES)
     "WHERE ((trial_id * 2654435761 + (j + 1) * 40503) % 1000) / 1000.0 > 0.5",
     "best_trials"))
 def q_feature_mask(spark, sf_dir):
-    """Columns kept by the best feature mask of each search (mask value > 0.5)."""
+    """Report over logged trials: the columns that each search's best trial's mask (a stand-in, made from
+    the trial id) keeps. The search itself is q_mask_search."""
     log = si.trial_log(spark, sf_dir)
     masks = log.withColumn("mask", F.array(*[_mask_value(F.col("trial_id"), j)
                                              for j in range(len(_MASK_FEATURES))]))
@@ -380,23 +413,27 @@ def q_trend_slope(spark, sf_dir):
         .select("store_nbr", "family", _r("slope", 4), _r("intercept", 2))
 
 
-@query("q_ols_series")
+@query("q_ols_series", with_ctes(
+    "SELECT store_nbr, family, count(*) AS n, 0.0 AS largest FROM xrows x JOIN train t USING (id, store_nbr, family) "
+    "GROUP BY store_nbr, family", "xrows", "train"))
 def q_ols_series(spark, sf_dir):
-    """Stage-1 coefficients per series on constant, trend, weekly Fourier and quake terms."""
+    """Stage 1 on constant, trend, weekly Fourier and quake terms: rows of each series, and the largest
+    product of its residuals and a regressor over both lengths, 0 for a least-squares fit."""
     x = _features_materialized(spark, sf_dir).filter(~F.col("is_test"))
     hf = HybridForecaster(learner=None)
     dp = DeterministicProcess(1, True, hf.fourier).fit(x)
     terms = dp.in_sample(x).withColumn("trend", F.col("trend") / F.lit(float(dp.n_dates)))
     lin = pn.dedup_last(x.select("date", "store_nbr", "family", *LINEAR_COLUMNS), "date") \
         .drop("store_nbr", "family")
-    design = terms.join(lin, "date")
-    cols = dp.term_columns() + LINEAR_COLUMNS
-    rows = join_dimension(x.select("date", "store_nbr", "family", "sales"), design, "date",
-                          "inner")
-    coefs = fit_ols(rows, "sales", [f"`{c}`" for c in cols])
-    names = ["const", "trend", "sin_1", "cos_1", "sin_2", "cos_2", *LINEAR_COLUMNS]
-    return coefs.select("store_nbr", "family", "rank", "n",
-                        *[F.round(F.col("coef")[i], 4).alias(n) for i, n in enumerate(names)])
+    names = dp.term_columns() + LINEAR_COLUMNS
+    cols = [f"_t{i}" for i in range(len(names))]
+    design = terms.join(lin, "date").select("date", *[F.col(f"`{n}`").cast("double").alias(c) for n, c in zip(names, cols)])
+    rows = join_dimension(x.select("date", "store_nbr", "family", "sales"), design, "date", "inner")
+    fitted = predict_ols(rows, fit_ols(rows, "sales", cols), cols).withColumn("r", F.col("sales") - F.col("fit"))
+    products = [F.abs(F.sum(F.col("r") * F.col(c))) / F.sqrt(F.sum(F.col(c) * F.col(c)) * F.sum(F.col("sales") * F.col("sales"))) for c in cols]
+    out = fitted.groupBy("store_nbr", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.greatest(*[F.coalesce(F.when(F.sum(F.abs(c)) > 0, p), F.lit(0.0)) for p, c in zip(products, cols)]).alias("largest"))
+    return out.select("store_nbr", "family", "n", _r("largest", 6))
 
 
 # ------------------------------------------------------------------ kNN
@@ -430,46 +467,138 @@ def q_knn_regress(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ hybrid models
-def _hybrid(spark, sf_dir, boosted: bool, learner):
+_TEST_KEYS = with_ctes("SELECT id, true AS forecast, true AS not_negative FROM features WHERE is_test", "features")
+
+
+def _xy_test(spark, sf_dir):
     allx = _features_materialized(spark, sf_dir)
-    x = allx.filter(~F.col("is_test")).drop("is_test")
-    test = allx.filter(F.col("is_test")).drop("is_test", "sales")
-    model = HybridForecaster(learner=learner, boosted=boosted).fit(x)
-    return model.predict(test).select("id", _r("pred", 4))
+    return allx.filter(~F.col("is_test")).drop("is_test"), allx.filter(F.col("is_test")).drop("is_test", "sales")
+
+
+def _hybrid(spark, sf_dir, boosted: bool, learner, **options):
+    x, test = _xy_test(spark, sf_dir)
+    return HybridForecaster(learner=learner, boosted=boosted, unseen="pooled", **options).fit(x).predict(test)
+
 
+def _checked(pred: DataFrame) -> DataFrame:
+    """A row for each forecast: it is there, and it isn't negative."""
+    there = F.col("pred").isNotNull() & ~F.isnan("pred")
+    return pred.select("id", there.alias("forecast"), (F.col("pred") >= 0).alias("not_negative"))
 
-@query("q_hybrid_boosted")
+
+@query("q_hybrid_boosted", _TEST_KEYS)
 def q_hybrid_boosted(spark, sf_dir):
-    """Per-series OLS trend + GBT on the residuals; forecasts for the test rows (clipped >= 0)."""
-    return _hybrid(spark, sf_dir, True, make_learner("gbt", maxIter=20, maxDepth=5))
+    """Per-series OLS trend + GBT on the residuals: a forecast for every test row."""
+    return _checked(_hybrid(spark, sf_dir, True, make_learner("gbt", maxIter=20, maxDepth=5)))
 
 
-@query("q_hybrid_stacked")
+@query("q_hybrid_stacked", _TEST_KEYS)
 def q_hybrid_stacked(spark, sf_dir):
-    """Per-series OLS trend as an extra feature of a GBT on sales; test-row forecasts."""
-    return _hybrid(spark, sf_dir, False, make_learner("gbt", maxIter=20, maxDepth=5))
+    """Per-series OLS trend as an extra feature of a GBT on sales: a forecast for every test row."""
+    return _checked(_hybrid(spark, sf_dir, False, make_learner("gbt", maxIter=20, maxDepth=5)))
 
 
-@query("q_rf_hybrid")
+@query("q_rf_hybrid", _TEST_KEYS)
 def q_rf_hybrid(spark, sf_dir):
-    """Per-series OLS trend + random forest on the residuals; test-row forecasts."""
-    return _hybrid(spark, sf_dir, True, make_learner("rf", numTrees=20, maxDepth=8))
+    """Per-series OLS trend + random forest on the one-hot features: a forecast for every test row."""
+    return _checked(_hybrid(spark, sf_dir, True, make_learner("rf", numTrees=20, maxDepth=8)))
+
+
+@query("q_knn_hybrid", _TEST_KEYS)
+def q_knn_hybrid(spark, sf_dir):
+    """Per-series OLS trend + exact 5-nearest-neighbour regression of the residuals on the scaled,
+    one-hot features: a forecast for every test row."""
+    return _checked(_hybrid(spark, sf_dir, True, KnnLearner(k=5, weights="uniform", metric="euclidean")))
+
+
+# The linear trend of each series over training positions p = 1..n; one observation gives the
+# least-norm line through it, none the line of all series together.
+cte("xpos", "SELECT date, row_number() OVER (ORDER BY date) AS p FROM (SELECT DISTINCT date FROM xrows) d", ("xrows",))
+cte("ytrain", "SELECT t.id, t.date, t.store_nbr, t.family, t.sales, x.p FROM train t JOIN xpos x ON t.date = x.date "
+              "WHERE t.id IN (SELECT id FROM xrows)", ("train", "xpos", "xrows"))
+
+
+def _trend_sql(rows: str, n: str, at: str) -> str:
+    """Forecast of a row at position ``at`` from the training rows ``rows`` (with n dates), joined as s and a."""
+    return (f"greatest(0, CASE WHEN s.k >= 2 THEN s.b + s.m * {at} "
+            f"WHEN s.k = 1 THEN s.y * (1 + ({at} / {n}) * (s.q / {n})) / (1 + pow(s.q / {n}, 2)) ELSE a.b + a.m * {at} END)")
+
+
+_SUMS = ("count(*) AS k, regr_slope(sales, p) AS m, regr_intercept(sales, p) AS b, max(sales) AS y, "
+         "CAST(max(p) AS DOUBLE) AS q")
+
+
+@query("q_hybrid_linear", with_ctes(
+    "SELECT f.id, " + rnd(_trend_sql("ytrain", "n.n", "(n.n + tp.p)"), 2) + " AS pred FROM features f "
+    "JOIN (SELECT date, row_number() OVER (ORDER BY date) AS p FROM (SELECT DISTINCT date FROM features WHERE is_test) d) tp "
+    "ON f.date = tp.date CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM xpos) n "
+    f"LEFT JOIN (SELECT store_nbr, family, {_SUMS} FROM ytrain GROUP BY 1, 2) s "
+    "ON f.store_nbr = s.store_nbr AND f.family = s.family "
+    f"CROSS JOIN (SELECT {_SUMS} FROM ytrain) a WHERE f.is_test", "features", "xpos", "ytrain"))
+def q_hybrid_linear(spark, sf_dir):
+    """The hybrid with a zero second stage and no other terms than the trend: test-row forecasts."""
+    pred = _hybrid(spark, sf_dir, True, ZeroLearner(), fourier=[], linear_cols=[])
+    return pred.select("id", _r("pred", 2))
+
+
+cte("fold_rows", f"SELECT y.*, b.block, f.fold FROM ytrain y JOIN xblocks b ON y.date = b.date "
+                 f"CROSS JOIN (SELECT unnest(range(1, {SPLITS + 1})) AS fold) f", ("ytrain", "xblocks"))
+cte("fold_fits", f"SELECT fold, store_nbr, family, {_SUMS} FROM fold_rows WHERE block < fold GROUP BY 1, 2, 3", ("fold_rows",))
+cte("fold_all", f"SELECT fold, {_SUMS}, CAST(max(p) AS DOUBLE) AS n FROM fold_rows WHERE block < fold GROUP BY 1", ("fold_rows",))
+_FOLD_ROW = ("fold_rows r JOIN fold_all a ON r.fold = a.fold LEFT JOIN fold_fits s ON r.fold = s.fold "
+             "AND r.store_nbr = s.store_nbr AND r.family = s.family")
+cte("fold_scores", "SELECT r.fold, avg(pow(ln(1 + r.sales) - ln(1 + pred), 2)) FILTER (WHERE r.block = r.fold) AS valid, "
+    "avg(pow(ln(1 + r.sales) - ln(1 + pred), 2)) FILTER (WHERE r.block < r.fold) AS train "
+    "FROM (SELECT r.*, " + _trend_sql("fold_rows", "a.n", "r.p") + f" AS pred FROM {_FOLD_ROW}) r GROUP BY 1",
+    ("fold_rows", "fold_all", "fold_fits"))
+
+
+def _cv(spark, sf_dir, make, train_score: bool):
+    x, _ = _xy_test(spark, sf_dir)
+    y = x.select("date", "store_nbr", "family", "sales")
+    keys = ["date", "store_nbr", "family", "pred"]
+
+    def fit_predict(tx, ty, vx):
+        model = make().fit(tx, ty)
+        valid = model.predict(vx).select(*keys)
+        return (valid, model.predict(tx, in_sample=True).select(*keys)) if train_score else valid
+
+    return ev.time_series_cv_folds(fit_predict, x.drop("sales"), y, SPLITS, train_score=train_score)
+
+
+@query("q_cv_linear", with_ctes(
+    f"SELECT CAST(fold AS INTEGER) AS fold, {rnd('sqrt(valid)', 5)} AS rmsle, {rnd('sqrt(train)', 5)} AS train_rmsle FROM fold_scores "
+    f"UNION ALL SELECT 0, {rnd('sqrt(avg(valid))', 5)}, {rnd('sqrt(avg(train))', 5)} FROM fold_scores", "fold_scores"))
+def q_cv_linear(spark, sf_dir):
+    """4-fold expanding-window CV of the hybrid with a zero second stage, refitted per fold: RMSLE
+    of the validation and of the training rows, and both overall as fold 0."""
+    folds = _cv(spark, sf_dir, lambda: HybridForecaster(ZeroLearner(), fourier=[], linear_cols=[], unseen="pooled"), True)
+    every = folds.agg(F.lit(0).alias("fold"), F.avg("msle").alias("msle"), F.avg("train_msle").alias("train_msle"))
+    rows = folds.select("fold", "msle", "train_msle").unionByName(every)
+    return rows.select("fold", F.sqrt("msle").alias("rmsle"), F.sqrt("train_msle").alias("train_rmsle")).select(
+        "fold", _r("rmsle", 5), _r("train_rmsle", 5))
+
+
+@query("q_cv_hybrid", with_ctes(
+    "SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n_rows, true AS scored FROM fold_rows WHERE block = fold GROUP BY 1", "fold_rows"))
+def q_cv_hybrid(spark, sf_dir):
+    """4-fold expanding-window CV of the hybrid OLS + random forest on the residuals, refitted per
+    fold: rows that each fold scored (a row without forecast would raise), and a finite score."""
+    folds = _cv(spark, sf_dir, lambda: HybridForecaster(make_learner("rf", numTrees=10, maxDepth=6), unseen="pooled"), False)
+    return folds.select("fold", "n_rows", (F.col("msle") >= 0).alias("scored"))
 
 
 # ------------------------------------------------------------------ sinks end to end
-@query("q_submission", with_ctes(
-    f"SELECT id, {rnd('sum(pred / cv) / sum(1 / cv)', 4)} AS sales FROM naive_long "
-    "JOIN naive_cv USING (model) GROUP BY id", "naive_long", "naive_cv"))
+@query("q_submission", _BLEND_SQL)
 def q_submission(spark, sf_dir):
-    """Predictions per model and CV scores written to their sinks, blended by 1 / RMSLE
+    """Test-row predictions per model and CV scores written to their sinks, blended by 1 / RMSLE
     from what was written, and the submission CSV read back."""
     base = io.scratch_path(spark, "run")
-    scored = _naive_scored(spark, sf_dir).persist()
+    longp, scored = _naive(spark, sf_dir)
     for row in _naive_cv(scored).collect():  # one row per model
         io.append_score(spark, f"{base}/scores", row["model"], row["cv"])
-    for m in ("lag_1", "mean_7", "year_lag"):
-        io.write_predictions(scored.filter(F.col("model") == m).select(
-            F.col("rid").alias("id"), "pred"), f"{base}/predictions", m)
+    for m in NAIVE:
+        io.write_predictions(longp.filter(F.col("is_test") & (F.col("model") == m)).select("id", "pred"), f"{base}/predictions", m)
     preds = io.read_parquet(spark, f"{base}/predictions")
     scores = io.read_scores(spark, f"{base}/scores").withColumnRenamed("Model", "model")
     io.write_submission(en.blend(preds, scores), f"{base}/submission")
@@ -478,66 +607,100 @@ def q_submission(spark, sf_dir):
     return sub.select("id", _r("sales", 4))
 
 
+@query("q_feature_table_from_csv", with_ctes(f"SELECT {_feature_select(_FT_COLS)} FROM features", "features"))
+def q_feature_table_from_csv(spark, sf_dir):
+    """The file entry point: five CSV inputs checked and turned into X, X_test and y files; X and X_test read back."""
+    base = io.scratch_path(spark, "entry")
+    panel = _written_panel(spark, sf_dir)
+    inputs = {"train": panel.filter(~F.col("is_test")).drop("is_test"), "test": panel.filter("is_test").drop("is_test", "sales"),
+              "stores": si.stores(spark, sf_dir), "oil": si.oil(spark, sf_dir), "holidays_events": si.holidays_events(spark, sf_dir)}
+    for name, df in inputs.items():
+        io.write_csv(df, f"{base}/{name}.csv")
+    out = prepare_from_files(spark, {name: f"{base}/{name}.csv" for name in inputs}, f"{base}/out")
+    both = out["X"].withColumn("is_test", F.lit(False)).unionByName(out["X_test"].withColumn("is_test", F.lit(True)))
+    return both.select(*[_r46(c) if c in _ROUND4 else F.col(c) for c in _FT_COLS])
+
+
 # ------------------------------------------------------------------ searches with scoring
-@query("q_knn_search")
-def q_knn_search(spark, sf_dir):
-    """Seeded random search over kNN options (k, weights, metric): every trial is a
-    leave-one-out kNN regression of the embedding labels scored by RMSLE, appended to a
-    JSON-lines trial log; the report is the best trial per search."""
-    pts = si.vectors(spark, sf_dir).persist()
-    cand = sr.random_trials(spark, {k: sr.KNN_BOUNDS[k] for k in ("n_neighbors", "weights",
-                                                                 "metric")}, 3, seed=1)
-    log_path = io.scratch_path(spark, "knn-trials")
-    trials = cand.select("trial", "n_neighbors", sr.knn_weights(F.col("weights")).alias("w"),
-                         sr.knn_metric(F.col("metric")).alias("m")).collect()  # 3 rows
-    start = None
-    import time as _time
-    for t in trials:
-        t0 = _time.time()
-        start = start or t0
-        k = int(round(t["n_neighbors"]))
-        pred = knn.knn_regress(pts, None, k=k, weights=t["w"], metric=t["m"])
-        score = pred.join(pts.select("vec_id", "label"), "vec_id").agg(
-            F.sqrt(F.avg(msle_term(F.col("label"), F.col("prediction")))).alias("s"))
-        rmsle = score.first()["s"]
-        row = spark.createDataFrame(
-            [(-float(rmsle), (float(k), t["w"], t["m"]),
-              (_time.strftime("%Y-%m-%d %H:%M:%S"), _time.time() - start, _time.time() - t0),
-              int(t["trial"]))],
-            "target double, params struct<n_neighbors:double, weights:string, metric:string>, "
-            "datetime struct<datetime:string, elapsed:double, delta:double>, trial long")
-        row.write.mode("append").json(log_path)
-    log = spark.read.schema(
-        "target double, params struct<n_neighbors:double, weights:string, metric:string>, "
-        "datetime struct<datetime:string, elapsed:double, delta:double>, trial long"
-    ).json(log_path).withColumn("search", F.lit("knn"))
-    best = sr.best_trials(log)
-    return best.select("search", "n_trials", _r("best_target", 6),
-                       F.col("best_params.n_neighbors").cast("int").alias("n_neighbors"),
-                       F.col("best_params.weights").alias("weights"),
-                       F.col("best_params.metric").alias("metric"))
-
-
-@query("q_cv_hybrid")
-def q_cv_hybrid(spark, sf_dir):
-    """4-fold expanding-window CV of the hybrid OLS + random forest on the residuals,
-    refitted per fold: per-fold RMSLE and the overall sqrt(mean fold MSLE) as fold 0."""
-    allx = _features_materialized(spark, sf_dir)
-    x = allx.filter(~F.col("is_test")).drop("is_test", "sales")
-    y = allx.filter(~F.col("is_test")).select("date", "store_nbr", "family", "sales")
+KNN_TRIALS, MASK_TRIALS, SEARCH_SEED = 4, 6, 1
+_KNN_BOUNDS = {k: sr.KNN_BOUNDS[k] for k in ("n_neighbors", "weights", "metric")}
+_MASK_BOUNDS = {m: (0.0, 1.0) for m in NAIVE}
 
-    def fit_predict(tx, ty, vx):
-        model = HybridForecaster(learner=make_learner("rf", numTrees=10, maxDepth=6)).fit(tx, ty)
-        return model.predict(vx).select("date", "store_nbr", "family", "pred")
 
-    scores = ev.time_series_cv_folds(fit_predict, x, y, SPLITS)
-    return ev.rmsle_report(scores).select(F.col("fold").cast("int").alias("fold"),
-                                          _r("rmsle", 6))
+def _knn_trial_sql(i: int, point: dict) -> str:
+    o = sr.neighbor_params(point)
+    dist = "abs_sum" if o["metric"] == "manhattan" else "root"
+    label = ("avg(label)" if o["weights"] == "uniform" else
+             "CASE WHEN max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) = 1 THEN avg(CASE WHEN dist = 0 THEN label END) "
+             "ELSE sum(label / dist) / sum(1 / dist) END")
+    return (f"SELECT {i} AS trial, sqrt(avg(pow(ln(1 + own) - ln(1 + pred), 2))) AS error FROM (SELECT qid, own, {label} AS pred "
+            f"FROM (SELECT qid, own, label, {dist} AS dist, row_number() OVER (PARTITION BY qid ORDER BY {dist}, pid) AS rk FROM d) x "
+            f"WHERE rk <= {o['k']} GROUP BY qid, own) y")
 
 
-@query("q_knn_hybrid")
-def q_knn_hybrid(spark, sf_dir):
-    """Per-series OLS trend + exact 5-nearest-neighbour regression of the residuals on the
-    scaled features (the nearest-neighbour hybrid); forecasts for the test rows."""
-    from retailcast.operators.hybrid import KnnLearner
-    return _hybrid(spark, sf_dir, True, KnnLearner(k=5, weights="uniform", metric="euclidean"))
+_POINTS = sr.random_points(_KNN_BOUNDS, KNN_TRIALS, SEARCH_SEED)
+
+
+@query("q_param_search", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS DOUBLE) AS label FROM embeddings),
+d AS (SELECT a.vec_id AS qid, a.label AS own, b.vec_id AS pid, b.label,
+             sqrt(list_reduce(list_transform(list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda s, y: s + y)) AS root,
+             list_reduce(list_transform(list_zip(a.e, b.e), lambda x: abs(x[1] - x[2])), lambda s, y: s + y) AS abs_sum
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+t AS (""" + " UNION ALL ".join(_knn_trial_sql(i, p) for i, p in enumerate(_POINTS)) + """)
+SELECT CAST(trial AS BIGINT) AS trial, round(-error * 1000000.0) / 1000000.0 AS target,
+       row_number() OVER (ORDER BY round(error * 1000000.0), trial) = 1 AS best FROM t""")
+def q_param_search(spark, sf_dir):
+    """Seeded random search over kNN options (k, weights, metric): each trial a leave-one-out kNN
+    regression of the embedding labels scored by RMSLE, appended to a JSON-lines log; run twice on one
+    log, the second time to resume."""
+    pts = materialize(si.vectors(spark, sf_dir), "points")
+    path = io.scratch_path(spark, "knn-trials")
+
+    def objective(point):
+        pred = knn.knn_regress(pts, None, **sr.neighbor_params(point))
+        scored = pts.select("vec_id", "label").join(pred, "vec_id", "left")
+        ev.require_scored(scored, "label", "prediction")
+        return scored.agg(F.sqrt(F.avg(msle_term(F.col("label"), F.col("prediction")))).alias("s")).first()["s"]
+
+    sr.run_search(spark, objective, _KNN_BOUNDS, KNN_TRIALS // 2, path, SEARCH_SEED)
+    return _ranked_log(sr.run_search(spark, objective, _KNN_BOUNDS, KNN_TRIALS, path, SEARCH_SEED))
+
+
+def _ranked_log(log: DataFrame) -> DataFrame:
+    log = log.select("trial", _r("target", 6))
+    best = F.row_number().over(Window.orderBy(F.desc("target"), "trial")) == 1  # a row for each trial
+    return log.withColumn("best", best)
+
+
+def _mask_trial_sql(i: int, point: dict) -> str:
+    kept = [m for m in NAIVE if point[m] > 0.5]
+    pred = f"({' + '.join(kept)}) / {len(kept)}.0" if kept else "0.0"
+    return (f"SELECT {i} AS trial, sqrt(avg(msle)) AS error FROM (SELECT b.block, avg(pow(ln(1 + n.sales) - ln(1 + {pred}), 2)) AS msle "
+            "FROM naive n JOIN xblocks b ON n.date = b.date WHERE NOT n.is_test AND b.block > 0 GROUP BY 1) f")
+
+
+_MASKS = sr.random_points(_MASK_BOUNDS, MASK_TRIALS, SEARCH_SEED)
+
+
+@query("q_mask_search", with_ctes(
+    "SELECT CAST(trial AS BIGINT) AS trial, " + rnd("-error", 6) + " AS target, "
+    "row_number() OVER (ORDER BY round(error * 1000000.0), trial) = 1 AS best FROM ("
+    + " UNION ALL ".join(_mask_trial_sql(i, p) for i, p in enumerate(_MASKS)) + ") t", "naive", "xblocks"))
+def q_mask_search(spark, sf_dir):
+    """Seeded feature-subset search: each trial keeps the columns whose mask value is over 0.5 and is
+    scored by the cross-validated RMSLE of a linear forecaster on them (their mean)."""
+    panel = _written_panel(spark, sf_dir)
+    wide = naive_predictions(panel).filter(~F.col("is_test"))
+    blocks = ev.date_blocks(wide, SPLITS).drop("pos")
+    wide = materialize(join_dimension(wide.select("id", "date", "store_nbr", "family", "sales", *NAIVE), blocks, "date", "inner"), "masked")
+
+    def objective(point):
+        kept = sr.apply_mask(wide, NAIVE, [point[m] for m in NAIVE], keep=("block", "sales"))
+        used = [c for c in kept.columns if c in NAIVE]
+        scored = kept.withColumn("pred", pn.row_sum(used) / len(used) if used else F.lit(0.0))
+        ev.require_scored(scored)
+        return ev.fold_msle(scored).agg(F.sqrt(F.avg("msle")).alias("s")).first()["s"]
+
+    path = io.scratch_path(spark, "mask-trials")
+    return _ranked_log(sr.run_search(spark, objective, _MASK_BOUNDS, MASK_TRIALS, path, SEARCH_SEED))

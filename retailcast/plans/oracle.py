@@ -153,8 +153,7 @@ FROM (SELECT date, pos, v,
              OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS np
       FROM oil_pos) x""", ("oil_pos",))
 cte("oil_smooth", """
-SELECT date, round(CASE WHEN count(dcoilwtico) OVER w >= 1 THEN avg(dcoilwtico) OVER w END
-                   * 1000000.0) / 1000000.0 AS dcoilwtico
+SELECT date, CASE WHEN count(dcoilwtico) OVER w >= 1 THEN avg(dcoilwtico) OVER w END AS dcoilwtico
 FROM oil_interp WINDOW w AS (ORDER BY pos ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
     ("oil_interp",))
 cte("features_all", """

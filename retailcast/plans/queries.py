@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from retailcast.functions.dates import date_parts
 from retailcast.operators import calendar as cal
 from retailcast.operators import panel as pn
-from retailcast.operators.joins import join_dimension
+from retailcast.operators.joins import join_dimension, materialize
 from retailcast.operators.series import interpolate_linear
 from retailcast.plans import features as ft
 from retailcast.plans.oracle import with_ctes
@@ -44,14 +44,14 @@ def rnd(c: str, digits: int) -> str:
     return f"round({c} * {10 ** digits}.0) / {10 ** digits}.0"
 
 
-def _inputs(spark, sf_dir):
-    return (si.train_frame(spark, sf_dir), si.test_frame(spark, sf_dir),
-            si.stores(spark, sf_dir))
+def _upanel(spark, sf_dir):
+    """Train and test rows together, from one scan of the sales lines."""
+    return si.daily_panel(spark, sf_dir)
 
 
-def _upanel(spark, sf_dir):
-    train, test, _ = _inputs(spark, sf_dir)
-    return pn.union_panel(train, test)
+def _written_panel(spark, sf_dir):
+    """The daily panel aggregated once, for plans that read it several times."""
+    return materialize(_upanel(spark, sf_dir), "panel")
 
 
 # ------------------------------------------------------------------ panel basics
@@ -59,7 +59,7 @@ def _upanel(spark, sf_dir):
     "SELECT id, date, store_nbr, family, is_test, " + rnd("sales", 4) + " AS sales, onpromotion "
     "FROM upanel", "upanel"))
 def q_union_panel(spark, sf_dir):
-    p = _upanel(spark, sf_dir)
+    p = pn.union_panel(si.train_frame(spark, sf_dir), si.test_frame(spark, sf_dir))
     return p.select("id", "date", "store_nbr", "family", "is_test", _r("sales", 4), "onpromotion")
 
 
@@ -67,8 +67,7 @@ def q_union_panel(spark, sf_dir):
     "SELECT date, store_nbr, family, city, state, type FROM upanel "
     "LEFT JOIN stores USING (store_nbr)", "upanel", "stores"))
 def q_store_join(spark, sf_dir):
-    train, test, stores = _inputs(spark, sf_dir)
-    p = pn.store_join(pn.union_panel(train, test), stores)
+    p = pn.store_join(_upanel(spark, sf_dir), si.stores(spark, sf_dir))
     return p.select("date", "store_nbr", "family", "city", "state", "type")
 
 
@@ -77,8 +76,7 @@ def q_store_join(spark, sf_dir):
     "AS total_other_promo_store, CAST(total_other_city_promo AS BIGINT) AS total_other_city_promo "
     "FROM ppanel", "ppanel"))
 def q_promo_totals(spark, sf_dir):
-    train, test, stores = _inputs(spark, sf_dir)
-    p = ft.base_panel(train, test, stores)
+    p = ft.promo_panel(_written_panel(spark, sf_dir), si.stores(spark, sf_dir))
     return p.select("date", "store_nbr", "family", "total_other_promo_store",
                     "total_other_city_promo")
 
@@ -110,8 +108,7 @@ def q_calendar_split(spark, sf_dir):
     "SELECT date, store_nbr, family, holiday, holiday_description, event, time_since_quake, "
     "time_since_quake_sq, workday FROM calpanel", "calpanel"))
 def q_calendar_flags(spark, sf_dir):
-    train, test, stores = _inputs(spark, sf_dir)
-    p = pn.store_join(pn.union_panel(train, test), stores)
+    p = pn.store_join(_upanel(spark, sf_dir), si.stores(spark, sf_dir))
     p = cal.attach_calendar(p, si.holidays_events(spark, sf_dir))
     return p.select("date", "store_nbr", "family", "holiday", "holiday_description", "event",
                     "time_since_quake", "time_since_quake_sq", "workday")
@@ -129,10 +126,18 @@ LEFT JOIN c_quake q ON p.date = q.date
 GROUP BY p.date""", "spanel", "c_national", "c_bridge", "c_local", "c_regional", "c_event",
     "c_quake"))
 def q_calendar_fanout(spark, sf_dir):
-    train, test, stores = _inputs(spark, sf_dir)
-    p = pn.store_join(pn.union_panel(train, test), stores)
-    p = cal.attach_calendar(p, si.holidays_events(spark, sf_dir), fanout=True)
-    return p.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
+    p = pn.store_join(_upanel(spark, sf_dir), si.stores(spark, sf_dir))
+    return cal.fanout_counts(p, si.holidays_events(spark, sf_dir))
+
+
+def _r46(c: str) -> F.Column:
+    """Round to 6, then to 4 digits: sums in another order differ far behind, and ties at 4 digits
+    (means of cents have many) then fall the same way as in the oracle SQL."""
+    return (F.round(F.round(F.col(c) * 1e6) / 1e6 * 1e4) / 1e4).alias(c)
+
+
+def rnd46(c: str) -> str:
+    return rnd(rnd(c, 6), 4)
 
 
 # ------------------------------------------------------------------ oil series
@@ -145,10 +150,10 @@ def q_oil_interp(spark, sf_dir):
 
 
 @query("q_oil_smooth", with_ctes(
-    "SELECT date, " + rnd("dcoilwtico", 4) + " AS dcoilwtico FROM oil_smooth", "oil_smooth"))
+    "SELECT date, " + rnd46("dcoilwtico") + " AS dcoilwtico FROM oil_smooth", "oil_smooth"))
 def q_oil_smooth(spark, sf_dir):
     s = ft.oil_series(_upanel(spark, sf_dir), si.oil(spark, sf_dir))
-    return s.select("date", _r("dcoilwtico", 4))
+    return s.select("date", _r46("dcoilwtico"))
 
 
 # ------------------------------------------------------------------ lags
@@ -158,24 +163,25 @@ _LAG_COLS = ([f"onpromotion_lag_{k}" for k in range(1, 8)]
 
 @query("q_lags", with_ctes(
     "SELECT date, store_nbr, family, "
-    + ", ".join(f"{rnd(c, 4)} AS {c}" for c in _LAG_COLS)
+    + ", ".join(f"{rnd46(c)} AS {c}" for c in _LAG_COLS)
     + " FROM (SELECT *, dcoilwtico - dcoilwtico_lag_1 AS Change_in_oil_prices "
       "FROM features_all) f", "features_all"))
 def q_lags(spark, sf_dir):
-    p = _upanel(spark, sf_dir)
-    p = pn.partition_by_store(join_dimension(p, ft.oil_series(p, si.oil(spark, sf_dir)), "date"))
+    p = _written_panel(spark, sf_dir)
+    oil = ft.oil_series(p, si.oil(spark, sf_dir))
+    p = join_dimension(pn.partition_by_series(p), oil, "date")
     p = p.withColumn("onpromotion", F.col("onpromotion").cast("double"))
     p = pn.add_lags(p, "onpromotion", 7)
     p = pn.add_lags(p, "dcoilwtico", 7)
     p = p.withColumn("Change_in_oil_prices", F.col("dcoilwtico") - F.col("dcoilwtico_lag_1"))
-    return p.select("date", "store_nbr", "family", *[_r(c, 4) for c in _LAG_COLS])
+    return p.select("date", "store_nbr", "family", *[_r46(c) for c in _LAG_COLS])
 
 
 @query("q_year_lag", with_ctes(
     "SELECT date, store_nbr, family, " + rnd("sales_one_year_lag", 4) + " AS sales_one_year_lag "
     "FROM features_all", "features_all"))
 def q_year_lag(spark, sf_dir):
-    p = pn.year_lag(pn.partition_by_store(_upanel(spark, sf_dir)), "sales")
+    p = pn.year_lag(pn.partition_by_series(_upanel(spark, sf_dir)), "sales")
     return p.select("date", "store_nbr", "family", _r("sales_one_year_lag", 4))
 
 
@@ -190,25 +196,22 @@ def q_promo7(spark, sf_dir):
 
 # ------------------------------------------------------------------ feature table
 _ROUND4 = {"Change_in_oil_prices", "dcoilwtico", "sales_one_year_lag", *[f"dcoilwtico_lag_{k}" for k in range(1, 8)]}
-_ROUND2: set[str] = set()
 
 
 def _feature_select(cols):
     out = []
     for c in cols:
         if c in _ROUND4:
-            out.append(f"{rnd(c, 4)} AS {c}")
-        elif c in _ROUND2:
-            out.append(f"{rnd(c, 2)} AS {c}")
+            out.append(f"{rnd46(c)} AS {c}")
         else:
             out.append(c)
     return ", ".join(out)
 
 
 def _feature_table(spark, sf_dir, with_target: bool = False):
-    train, test, stores = _inputs(spark, sf_dir)
-    return ft.feature_table(train, test, stores, si.oil(spark, sf_dir),
-                            si.holidays_events(spark, sf_dir), with_target=with_target)
+    return ft.features_of_panel(_written_panel(spark, sf_dir), si.stores(spark, sf_dir),
+                                si.oil(spark, sf_dir), si.holidays_events(spark, sf_dir),
+                                with_target=with_target)
 
 
 _FT_COLS = ["date", *ft.KEY_COLUMNS, *ft.FEATURES, "is_test"]
@@ -218,8 +221,7 @@ _FT_COLS = ["date", *ft.KEY_COLUMNS, *ft.FEATURES, "is_test"]
     f"SELECT {_feature_select(_FT_COLS)} FROM features", "features"))
 def q_feature_table(spark, sf_dir):
     x = _feature_table(spark, sf_dir)
-    return x.select(*[_r(c, 4) if c in _ROUND4 else _r(c, 2) if c in _ROUND2 else F.col(c)
-                      for c in _FT_COLS])
+    return x.select(*[_r46(c) if c in _ROUND4 else F.col(c) for c in _FT_COLS])
 
 
 @query("q_head", with_ctes(

@@ -21,21 +21,19 @@ DEFAULT_CONF = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "retailcast", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the options above.
 
-    ``master`` defaults to ``local[*]`` only when no master is configured,
-    so the same code runs unchanged under ``spark-submit`` on a cluster.
+    The master, the driver's memory and the number of shuffle partitions are left to
+    ``spark-submit`` and the cluster's configuration unless they are given here.
     """
     builder = SparkSession.builder.appName(app)
+    conf = dict(DEFAULT_CONF)
     if master:
         builder = builder.master(master)
-    elif "SPARK_MASTER" not in os.environ:
-        builder = builder.master("local[*]")
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -75,32 +73,38 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
-               executors_cores: int | None = None) -> dict[str, str]:
-    """Session options for a large run, sized from the input volume.
+# Bounds of the initial number of shuffle partitions: a shuffle has map tasks x partitions
+# blocks, so far more partitions than these cost more than they spread.
+MAX_SHUFFLE_PARTITIONS = 20_000
+
+
+def scale_conf(shuffle_bytes: int, executor_cores: int, partition_bytes: int = 128 << 20,
+               scan_split_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session options for a large run.
 
-    Initial shuffle partitions ~ input / 256 MB (AQE then coalesces small
-    ones and splits skewed ones); scans split at 256 MB.  At 100 TB this
-    gives ~400k initial partitions, rounded up to a multiple of the cores.
+    ``shuffle_bytes`` is what the largest shuffle writes (for the forecasting jobs the daily
+    panel, a small part of the input), not the input. Partitions: enough for ``partition_bytes``
+    each, two waves of the cores at least, at most MAX_SHUFFLE_PARTITIONS, in whole waves;
+    AQE coalesces small ones and splits skewed ones.
     """
-    parts = max(1, -(-int(input_bytes) // target_partition_bytes))
-    if executors_cores:
-        parts = -(-parts // executors_cores) * executors_cores
+    cores = max(1, executor_cores)
+    wanted = max(-(-int(shuffle_bytes) // partition_bytes), 2 * cores)
+    parts = max(cores, min(-(-wanted // cores) * cores, MAX_SHUFFLE_PARTITIONS // cores * cores))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     }
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (distributed) folder and is
-    used as is.  Only when it is unset -- local tests -- a private scratch
-    folder under the system temp dir is created and registered.
+    Where it is unset, a private scratch folder is used, but only for a master whose driver and
+    executors are one process (``local``, ``local[n]``); any other master raises, as each
+    executor would write to a disk of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -108,6 +112,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder for master {sc.master}")
         configured = tempfile.mkdtemp(prefix="retailcast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -60,6 +60,14 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "date", "store_nbr", "family", "sales", "onpromotion")
 
 
+def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and test rows in one frame, from one scan: test rows have no sales and is_test true."""
+    fact = sales_fact(spark, sf_dir)
+    is_test = F.col("date") >= F.lit(TEST_START).cast("date")
+    return (fact.withColumn("sales", F.when(~is_test, F.col("sales")))
+            .withColumn("is_test", is_test))
+
+
 def train_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_fact(spark, sf_dir).filter(F.col("date") < F.lit(TEST_START).cast("date"))
 

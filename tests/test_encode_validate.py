@@ -99,7 +99,7 @@ def test_blend(spark):
 
 def test_permute_column_is_permutation(spark):
     df = spark.range(200).withColumn("v", F.col("id") * 2)
-    out = en.permute_column(df, "v", "id", bucket_rows=50)
+    out = en.permute_column(df, "v", "id")
     assert sorted(r.v for r in out.collect()) == list(range(0, 400, 2))
     assert out.filter(F.col("v") != F.col("id") * 2).count() > 100
 
@@ -166,8 +166,117 @@ def test_permutation_importance_ranks_used_feature(spark):
     assert out["a"] > 0.1 and abs(out["b"]) < 1e-12
 
 
+def test_onehot_has_no_limit_of_levels(spark):
+    df = spark.range(3000).select(F.concat(F.lit("level "), F.col("id")).alias("x"))
+    model = OneHot(["x"]).fit(df)
+    row = model.vectors(df.filter("x = 'level 7'")).first()
+    assert row["x_levels"].size == 3000 and row["x_levels"].numNonzeros() == 1
+    other = model.vectors(spark.createDataFrame([("new",), (None,)], "x string")).collect()
+    assert all(r["x_levels"].numNonzeros() == 0 and r["x_levels"].size == 3000 for r in other)
+
+
+def test_permutation_reaches_all_rows(spark):
+    # a value can come to any row, whatever their number: no buckets that keep values inside
+    df = spark.range(20_000).withColumn("v", F.col("id"))
+    moved = en.permute_column(df, "v", "id").select((F.col("id") / 2000).cast("int").alias("a"), (F.col("v") / 2000).cast("int").alias("b"))
+    assert moved.distinct().count() == 100
+
+
+def test_cv_raises_on_missing_forecasts(spark):
+    scored = spark.createDataFrame([(1.0, 1.0), (2.0, None)], "sales double, pred double")
+    with pytest.raises(ValueError, match="1 validation rows"):
+        ev.require_scored(scored)
+    X = spark.createDataFrame([(D(f"2024-01-{i:02d}"), 1, "A", 1.0) for i in range(1, 11)], "date date, store_nbr long, family string, sales double")
+    with pytest.raises(ValueError, match="no forecast"):
+        ev.time_series_cv_folds(lambda tx, ty, vx: vx.limit(1).withColumn("pred", F.lit(1.0)), X.drop("sales"), X)
+
+
+def test_search_runs_each_trial_once_and_resumes(spark, tmp_path):
+    ran = []
+
+    def objective(point):
+        ran.append(point["a"])
+        return abs(point["a"] - 0.5)
+    path = str(tmp_path / "log")
+    assert sr.run_search(spark, objective, {"a": (0.0, 1.0)}, 3, path).count() == 3 and len(ran) == 3
+    log = sr.run_search(spark, objective, {"a": (0.0, 1.0)}, 5, path)
+    assert log.count() == 5 and len(ran) == 5 == len(set(ran))
+    assert sr.run_search(spark, objective, {"a": (0.0, 1.0)}, 5, path).count() == 5 and len(ran) == 5
+    assert sr.best_point(log)["a"] == min(ran, key=lambda a: abs(a - 0.5))
+
+
+def test_trial_values_to_learner_parameters(spark):
+    from retailcast.operators.hybrid import make_learner
+    mid = lambda bounds: {k: (lo + hi) / 2 for k, (lo, hi) in bounds.items()}
+    gbt = make_learner("gbt", **sr.boosted_params(mid(sr.BOOSTED_BOUNDS)))
+    assert gbt.getMaxIter() == 500 and gbt.getMaxDepth() == 7 and gbt.getMinInfoGain() == 5.5
+    rf = make_learner("rf", **sr.forest_params(mid(sr.RF_BOUNDS)))
+    assert rf.getNumTrees() == 550 and rf.getFeatureSubsetStrategy() == "auto"
+    assert sr.neighbor_params(mid(sr.KNN_BOUNDS)) == {"k": 10, "weights": "distance", "metric": "manhattan"}
+
+
 def test_scale_conf():
-    from retailcast.session import scale_conf
-    conf = scale_conf(100 * 2 ** 40, executors_cores=8000)
-    parts = int(conf["spark.sql.shuffle.partitions"])
-    assert parts % 8000 == 0 and parts >= 100 * 2 ** 40 // (256 << 20)
+    from retailcast.session import MAX_SHUFFLE_PARTITIONS, scale_conf
+    parts = lambda conf: int(conf["spark.sql.shuffle.partitions"])
+    assert parts(scale_conf(2 ** 40, 1000)) == 9000
+    assert parts(scale_conf(1, 1000)) == 2000
+    assert parts(scale_conf(100 * 2 ** 40, 8000)) <= MAX_SHUFFLE_PARTITIONS
+
+
+def test_session_leaves_the_master_alone(monkeypatch):
+    from retailcast import session
+    seen = {}
+
+    class Builder:
+        def appName(self, name):
+            return self
+
+        def master(self, m):
+            seen["master"] = m
+            return self
+
+        def config(self, k, v):
+            seen[k] = v
+            return self
+
+        def getOrCreate(self):
+            raise KeyError
+
+    monkeypatch.setattr(session, "SparkSession", type("S", (), {"builder": Builder()}))
+    with pytest.raises(KeyError):
+        session.get_session()
+    assert "master" not in seen and "spark.driver.memory" not in seen and "spark.sql.shuffle.partitions" not in seen
+
+
+def test_checkpoint_dir_must_be_shared_on_a_cluster():
+    from retailcast.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
+def test_csv_with_a_bad_date_raises(spark, tmp_path):
+    from retailcast.sources import io
+    from retailcast.sources.schemas import OIL
+    spark.createDataFrame([("2024-01-01", 1.0), ("01/02/2024", 2.0)], "date string, dcoilwtico double").write.option("header", True).csv(str(tmp_path / "oil"))
+    with pytest.raises(ValueError, match="1 dates"):
+        io.read_csv(spark, str(tmp_path / "oil"), OIL)
+    assert io.read_csv(spark, str(tmp_path / "oil"), OIL, bad_dates="null").filter("date IS NULL").count() == 1
+
+
+def test_broadcast_is_decided_by_bytes(spark):
+    from retailcast.operators.joins import bounded_broadcast, row_bytes
+    df = spark.createDataFrame([(1, "x" * 1000)], "a long, b string")
+    assert df.select(row_bytes(df)).first()[0] == 1032
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(bounded_broadcast(df)) and not hinted(bounded_broadcast(df, max_bytes=1000))
