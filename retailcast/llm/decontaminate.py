@@ -224,8 +224,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_bytes: int = BROADCAST_
                .agg(F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"),
                     F.collect_set("items_set").alias("sets"))
                .withColumns({"n_hit": _covered(F.col("spans")),
-                             "signature": F.md5(F.array_join(F.array_sort("sets"), ","))}))
+                             "signature": F.when(F.size("sets") > 0, F.md5(F.array_join(F.array_sort("sets"), ",")))
+                             .otherwise(F.concat(F.lit("none "), F.hex(F.xxhash64("doc_id", "text_hash"))))}))
     per_doc = staged(per_doc, "decontaminated")
+    # Documents without hits have signatures of their own, so they don't meet in one task.
     # The list of items is made once for each distinct collection of sets, not for each document.
     member = (sets.groupBy("items_set").agg(F.min(F.struct("len", "span")).alias("w")).select("items_set", "w.*")
               .join(windows, ["len", "span"]).select("items_set", "item_id").where("item_id is not null"))
@@ -234,6 +236,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_bytes: int = BROADCAST_
                .groupBy("signature").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
                .select("signature", F.size("ids").cast("long").alias("n_items"),
                        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")))
+    digests = staged(digests, "digests")
+    if small_enough(digests, max_bytes, 256):
+        digests = F.broadcast(digests)
     return per_doc.join(digests, "signature", "left").select(
         "doc_id", "text_hash", "n_words", "n_hit", "spans", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
