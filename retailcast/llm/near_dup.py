@@ -256,7 +256,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, row: str
     lesser = nodes.select("id", "digest").join(largest, "id").where("digest <> best").select("digest")
     one_each = nodes.join(lesser, "digest", "left_anti")
     banded = one_each.select("id", F.explode(band_keys(F.col("registers"), band_rows(percent / 100))).alias("band"))
-    members = staged(banded.join(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "buckets")
+    # Near copies meet in many bands. Buckets with the same members, told by order-free sums over
+    # the ids, are one; buckets of one are none.
+    buckets = (banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
+                                          F.sum(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 31))).alias("s"))
+               .where("n > 1").groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band"))
+    members = staged(banded.join(buckets, "band"), "buckets")
 
     met = members.select("id").distinct()
     if small_enough(met, BROADCAST_BYTES, 16):
