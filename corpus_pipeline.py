@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each one of the operators of retailcast.llm.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. Its rows are written as Parquet and read
-again as the next one's ``docs``; all but the last return the columns that they get. Rows are told
-apart by a row number, not by doc_id, so null and repeated ids are handled as any other row.
+again as the next one's ``docs``; all but the last return the columns that they get. Decisions name
+rows by doc_id and a hash of the text, so null and repeated ids are handled as any other row.
 """
 
 from __future__ import annotations
@@ -17,17 +17,17 @@ from retailcast.llm.near_dup import near_duplicates
 from retailcast.llm.shard import shard
 from retailcast.llm.toxicity import fit, with_scores
 
-#: Bytes of row numbers or keys up to which a join with them is a broadcast.
+#: Bytes of keys of rows up to which a join with them is a broadcast.
 BROADCAST_BYTES = 32 << 20
-_ROW = "_row"
 
 
 def _hint(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if small_enough(keys, BROADCAST_BYTES, 24) else keys
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    return staged(docs.withColumn(_ROW, F.monotonically_increasing_id()), name)
+def _same_row():
+    """A row of docs is the one of ``key_id`` and ``key_hash``."""
+    return F.col("doc_id").eqNullSafe(F.col("key_id")) & (text_key(F.col("text")) == F.col("key_hash"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,31 +39,35 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, similarity 0.8) one row stays, of the smallest
     id; of rows without any id, one of each set. Rows without words all stay."""
-    numbered = _numbered(docs, "numbered")
-    found = near_duplicates(numbered, words=5, percent=80, row=_ROW)
-    group = F.when(F.col("digest").isNull(), F.concat(F.lit("row "), F.col("row"))).otherwise(
+    found = near_duplicates(docs, words=5, percent=80)
+    own = F.concat_ws(" ", F.lit("row"), F.col("doc_id"), F.col("text_hash"))
+    group = F.when(F.col("digest").isNull(), own).otherwise(
         F.coalesce(F.concat(F.lit("id "), F.col("component_id")), F.concat(F.lit("set "), F.col("digest"))))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    kept = staged(found.groupBy(group.alias("group")).agg(F.min(first)["row"].alias(_ROW)).select(_ROW), "kept")
-    return numbered.join(_hint(kept), _ROW, "left_semi").select(*docs.columns)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+    # Rows without words stay as often as they come; of others that repeat an id and a text, one stays.
+    kept = staged(found.groupBy(group.alias("group")).agg(F.min(first).alias("x"), F.count("*").alias("n"), F.first("digest").isNull().alias("wordless"))
+                  .select("x.key_id", "x.key_hash", ((F.col("n") > 1) & ~F.col("wordless")).alias("many")), "kept")
+    alone = docs.join(_hint(kept.where("not many")), _same_row(), "left_semi")
+    # only groups of several rows can hold a row twice
+    others = docs.join(_hint(kept.where("many")), _same_row(), "left_semi").withColumn("_hash", text_key(F.col("text")))
+    return alone.unionByName(others.dropDuplicates(["doc_id", "_hash"]).drop("_hash")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a 10-word window with a benchmark item go."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    hits = _hint(staged(found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")), "contaminated"))
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (text_key(F.col("text")) == F.col("hit_hash"))
-    return docs.join(hits, same, "left_anti").select(*docs.columns)
+    hits = staged(found.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")), "contaminated")
+    return docs.join(_hint(hits), _same_row(), "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its words taken over its words, rounded (0, 1 or 2)."""
-    numbered = _numbered(docs, "numbered")
-    taken = mix(numbered, row=_ROW)
-    copies = taken.select(F.col("row").alias(_ROW), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    copies = _hint(staged(copies, "copies"))
-    return (numbered.join(copies, _ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*docs.columns))
+    """Each document as often as the mix takes it: its words taken over its words, rounded (0, 1 or
+    2); rows that repeat an id and a text share one decision."""
+    taken = mix(docs)
+    copies = (taken.groupBy(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+              .agg(F.round(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0))).cast("int").alias("_copies")).where("_copies > 0"))
+    return (docs.join(_hint(staged(copies, "copies")), _same_row())
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no result still to be computed reads."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_enough(df: DataFrame, max_bytes: int, row_bytes: Column | int) -> bool:
     """Whether the summed size of all rows of ``df`` stays within ``max_bytes`` (one aggregation)."""
     width = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes

@@ -107,11 +107,10 @@ def stream_blocks(docs: DataFrame, targets: DataFrame, block: int = BLOCK, repea
     return cut.select("source_no", "rank", "row", (first - F.col("from")).alias("begin"), (last - first).alias("length"))
 
 
-def mix(docs: DataFrame, row: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs`` (doc_id, source, text): row, doc_id, size, source_size, target, taken (words
-    the mix takes, repeats counted). ``row`` names a column that numbers the rows, if there is one."""
-    numbers = F.col(row) if row else F.monotonically_increasing_id()
-    sized = staged(docs.select(numbers.alias("row"), F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"),
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs`` (doc_id, source, text): doc_id, text_hash, size, source_size, target, taken
+    (words the mix takes, repeats counted)."""
+    sized = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"),
                                F.xxhash64("text").alias("text_hash")), "sizes")
     targets = staged(source_targets(sized), "targets")
     s, t = sized.alias("s"), targets.select("source_no", F.col("source").alias("name"), "source_size", "target").alias("t")
@@ -120,4 +119,4 @@ def mix(docs: DataFrame, row: str | None = None, block: int = BLOCK) -> DataFram
     slots = schedule(targets, block).select("source_no", "rank")
     taken = pieces.join(slots, ["source_no", "rank"]).groupBy("row").agg(F.sum("length").alias("taken"))
     return known.join(taken, "row", "left").select(
-        "row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

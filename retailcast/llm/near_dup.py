@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailcast.llm.common import small_enough, staged
+from retailcast.llm.common import small_enough, staged, text_key, unstage
 from retailcast.llm.words import kgram_hashes, normal, word_spans
 
 M = 256
@@ -110,8 +110,8 @@ def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, th
     return (above >= best - SIGMAS ** 2 / 2) & (np.minimum(u / v, v / u)[:, 0] >= threshold - 1e-9)
 
 
-_ROWS = "doc_id long, row long, n_shingles long, digest string, registers binary"
-_ROWS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("registers", pa.binary())])
+_ROWS = "doc_id long, text_hash long, n_shingles long, digest string, registers binary"
+_ROWS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()), ("registers", pa.binary())])
 
 
 def _sketches(words: int):
@@ -183,7 +183,8 @@ def components(links: DataFrame) -> DataFrame:
         small = (large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")),
                                                                  F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.*").where("u <> v").distinct())
-        edges = staged(small, "edges")
+        before_edges, edges = edges, staged(small, "edges")
+        unstage(before_edges)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
         if state == before:
             break
@@ -241,11 +242,11 @@ def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Da
             .applyInArrow(_cell(percent), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, n_shingles, digest (of its set), component_id (smallest id
-    linked to it, directly or not, itself included), kept (it is that id). ``row`` names a column that numbers the rows, if there is one."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, digest (of its set), component_id (smallest
+    id linked to it, directly or not, itself included), kept (it is that id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       (F.col(row) if row else F.lit(None).cast("long")).alias("row"))
+                       text_key(F.col("text")).alias("text_hash"))
     rows = staged(docs.mapInArrow(_sketches(words), _ROWS), "sketches")
     # Equal sets are one node, named by their smallest id.
     nodes = staged(rows.where("digest is not null and doc_id is not null").groupBy("digest")
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, row: str
                   .groupBy("id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "sets")
 
     pivots = members.groupBy("band").agg(F.min("id").alias("v"))
-    links = None
+    links, done = None, []
     for _ in range(2):
         pairs = members.join(pivots, "band").select(F.col("id").alias("u"), "v").where("u <> v")
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -279,15 +280,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, row: str
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = staged(pairs, "pairs")
         found = staged(confirmed(pairs, one_each, sets, percent), "links")
+        done += [pairs, found]
         tried, links = pairs, found if links is None else links.unionByName(found)
         degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
         pivots = (members.join(degree, "id").groupBy("band")
                   .agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("v")))
     labels = components(links)
     more = staged(_left_over(members, labels, one_each, sets, percent), "links")
-    labels = staged(components(labels.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
+    first, done = labels, [*done, more]
+    labels = staged(components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
+    unstage(members, sets, first, *done)
 
     named = nodes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return (rows.select("row", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    return (rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
             .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-            .select("row", "doc_id", "n_shingles", "digest", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+            .select("doc_id", "text_hash", "n_shingles", "digest", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
