@@ -61,8 +61,15 @@ class PrefixCounter:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self._merges = len(pairs)
+        self.parts = {a + b: (a, b) for a, b in reversed(self.rank)}  # of two ways, the one of lower rank
+        self.made = {a + b: i for (a, b), i in reversed(self.rank.items())}
+        # A token that plain merging of its own bytes does not give can end no encoding.
+        self.tokens = [b"", *sorted(t for t in self.vocab if len(t) == 1 or t in self.parts)]
+        self.number = {t: i for i, t in enumerate(self.tokens) if i}
+        self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, bytes | None, list[int]]] = {}
+        self._older: dict[str, tuple[int, bytes | None, list[int]]] = {}
 
     def encode(self, data: bytes) -> list[bytes]:
         """Plain BPE: the pair of the lowest rank is merged, leftmost first, until none is left."""
@@ -74,23 +81,43 @@ class PrefixCounter:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, a: bytes, b: bytes) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= CACHE_ENTRIES:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.encode(a + b) == ([a, b] if a else [b])
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Whether token number b may come after token number a (0: the start)."""
+        if len(self._pairs) >= CACHE_ENTRIES:
+            self._pairs.clear()
+        known = self._pairs[a << 32 | b] = self._stays_apart(self.tokens[a], self.tokens[b])
         return known
 
+    def _stays_apart(self, a: bytes, b: bytes) -> bool:
+        """Whether no merge joins the two tokens' bytes across their border. Their own merges are
+        undone, the latest first; a pair that stood at the border before a merge of rank r would have
+        been merged by a lower rank (or an equal one further left)."""
+        if not a:
+            return True
+        before = self._merges + 1
+        while True:
+            if self.rank.get((a, b), before) < before:
+                return False
+            made_a, made_b = self.made.get(a, -1), self.made.get(b, -1)
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                before, a = made_a, self.parts[a][1]
+            else:
+                before, b = made_b + 1, self.parts[b][0]
+
     def byte_counts(self, data: bytes) -> list[int]:
         """count[i]: tokens of the first i bytes, as one piece."""
-        count, last = [0] * (len(data) + 1), [b""] * (len(data) + 1)
-        for i in range(1, len(data) + 1):
-            for n in range(min(i, self.longest), 0, -1):
-                token = data[i - n:i]
-                if token in self.vocab and self._may_follow(last[i - n], token):
-                    count[i], last[i] = count[i - n] + 1, token
-                    break
+        size, number, pairs, longest = len(data), self.number.get, self._pairs.get, self.longest
+        count, last = [0] * (size + 1), [0] * (size + 1)
+        for i in range(1, size + 1):
+            for j in range(i - longest if i > longest else 0, i):
+                token = number(data[j:i])
+                if token:
+                    ok = pairs(last[j] << 32 | token)
+                    if ok or ok is None and self._may_follow(last[j], token):
+                        count[i], last[i] = count[j] + 1, token
+                        break
             else:
                 raise ValueError(f"no token of the vocabulary ends at byte {i} of {data[:40]!r}")
         return count
@@ -100,18 +127,22 @@ class PrefixCounter:
         known = self._pieces.get(piece)
         if known:
             return known
+        known = self._older.get(piece)
+        if known:
+            self._pieces[piece] = known
+            return known
         data = piece.encode()
-        counts = self.byte_counts(data)
-        ends = [0, *(i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80), len(data)]
-        at = [counts[i] for i in ends]
+        at = self.byte_counts(data)
+        if len(data) != len(piece):  # counts at the ends of code points
+            at = [at[i] for i in (0, *(i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80), len(data))]
         if piece in _LONG_CONTRACTIONS:  # cut after its first letter, it is a sign and a word
             at[2] = self.count("'") + self.count(piece[1])
         steps = [b - a for a, b in zip(at, at[1:])]
         fits = min(steps) >= -128 and max(steps) <= 127
-        out = (at[-1], np.array(steps, np.int8).tobytes() if fits else None, [] if fits else steps)
+        out = (at[-1], bytes([s & 255 for s in steps]) if fits else None, () if fits else steps)
         if len(piece) <= CACHED_CHARS:
-            if len(self._pieces) >= CACHE_ENTRIES:
-                self._pieces.clear()
+            if len(self._pieces) >= CACHE_ENTRIES:  # pieces not met again go after a generation
+                self._pieces, self._older = {}, self._pieces
             self._pieces[piece] = out
         return out
 
