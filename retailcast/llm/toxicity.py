@@ -4,6 +4,8 @@ Inputs are words: a learned vector of the word (of the sample's most widespread
 its hashed character n-grams. Two gated recurrent units read a window of ``WINDOW`` words forwards
 and backwards; attention pools their states to one logit. A document's score is that of its highest
 window, over all overlapping windows of the whole text, shifted so that 0.5 best splits the sample.
+Only ASCII signs part words. A longer run than ``LONGEST`` bytes (scripts without spaces) is cut into
+pieces of ``RUN`` signs that share ``RUN_OVERLAP``, so none of its n-grams is lost; each piece is a word.
 
 The network learns from a bounded sample of labelled rows (``SAMPLE`` of either label at most, by a hash
 of the id, texts of up to ``SAMPLE_BYTES``) outside the held-out fifth. Labels are of documents, so in
@@ -34,23 +36,33 @@ SAMPLE = 1_500
 SAMPLE_BYTES = 20_000
 FOLDS = 5
 WINDOW, STRIDE = 48, 40
-VOCABULARY, BUCKET_BITS, LONGEST = 4_096, 13, 64
+VOCABULARY, BUCKET_BITS = 4_096, 13
+#: Bytes up to which a word stays whole; signs of the pieces of longer ones, and signs that two pieces share.
+LONGEST, RUN, RUN_OVERLAP = 64, 6, 3
 BUCKETS = 1 << BUCKET_BITS
 WIDTH, HIDDEN, ATTENTION = 16, 8, 8
 ROUNDS, STEPS, BATCH, RATE = 5, 160, 128, 0.01
-CACHE_WORDS, PIECE, PIECE_BYTES = 400_000, STRIDE * 4_000, 1 << 20
+CACHE_WORDS, VECTOR_WORDS, PIECE, PIECE_BYTES = 400_000, 1 << 14, STRIDE * 4_000, 1 << 20
 _SIGNS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def words(text: str | None) -> bytes:
-    """The lower-cased words, joined by one space."""
-    return normal((text or "").lower().encode("utf-8", "replace"), _SIGNS)
+    """The lower-cased words, joined by one space; long runs as their pieces."""
+    joined = normal((text or "").lower().encode("utf-8", "replace"), _SIGNS)
+    if len(joined) > LONGEST and int(np.subtract(*word_spans(joined)[::-1]).max()) > LONGEST:
+        return b" ".join(w if len(w) <= LONGEST else _cut(w) for w in joined.split())
+    return joined
+
+
+def _cut(run: bytes) -> bytes:
+    """The overlapping pieces of a long run, joined by one space."""
+    signs = run.decode("utf-8")
+    return " ".join(signs[i:i + RUN] for i in range(0, max(len(signs) - RUN_OVERLAP, 1), RUN - RUN_OVERLAP)).encode("utf-8")
 
 
 def ngram_ids(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the hashed character n-grams of 3 and 4 signs of each word, word ends marked."""
-    cut = [w if len(w) <= LONGEST else w[:LONGEST] for w in some]
-    signs = np.frombuffer((b"^" + b"$^".join(cut) + b"$").decode("utf-8", "ignore").encode("utf-32-le"), "<u4").astype(np.uint64)
+    signs = np.frombuffer((b"^" + b"$^".join(some) + b"$").decode("utf-8", "ignore").encode("utf-32-le"), "<u4").astype(np.uint64)
     ends = np.flatnonzero(signs == ord("$"))
     sizes = np.diff(ends, prepend=-1)
     left = np.repeat(ends + 1, sizes) - np.arange(len(signs))  # signs to the word's end
@@ -138,6 +150,8 @@ class Network:
         self.shift = 0.0
 
     def vectors(self, some: list[bytes]) -> np.ndarray:
+        if len(some) > VECTOR_WORDS:
+            return np.concatenate([self.vectors(some[i:i + VECTOR_WORDS]) for i in range(0, len(some), VECTOR_WORDS)])
         flat, counts = ngram_ids(some)
         sums = np.add.reduceat(self.w["gram"][flat], np.cumsum(counts) - counts, axis=0)
         own = np.fromiter((self.number.get(w, 0) for w in some), np.int64, len(some))

@@ -66,6 +66,39 @@ def test_ngrams_of_words():
     assert sorted(one) == sorted(flat[-7:])
 
 
+def test_long_runs_are_read_to_their_end():
+    r = random.Random(4)
+    for sign in ("abcdefghij", "中文字符測試語料庫長", "😀😁😂🤣😃"):
+        for n in (64, 65, 67, 80, 81, 500):
+            run = "".join(r.choice(sign) for _ in range(n))
+            pieces = X.words("x " + run + " y").decode().split()[1:-1]
+            assert all(len(p.encode()) <= X.LONGEST for p in pieces)
+            if len(run.encode()) <= X.LONGEST:
+                assert pieces == [run]
+                continue
+            again = pieces[0] + "".join(p[X.RUN_OVERLAP:] for p in pieces[1:])
+            assert again == run
+            whole = {run[i:i + k] for k in (3, 4) for i in range(n - k + 1)}
+            assert whole == {p[i:i + k] for p in pieces for k in (3, 4) for i in range(len(p) - k + 1)}
+    assert X.words("a" * 64 + "b-c").decode().split()[-1] == "c"
+
+
+def test_abuse_deep_in_a_text_without_spaces_is_found():
+    r = random.Random(6)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+
+    def text(bad):
+        run = [r.choice(signs) for _ in range(r.randint(80, 300))]
+        if bad:
+            for _ in range(3):
+                run.insert(r.randint(30, len(run)), "惡罵辱詞")
+        return "".join(run)
+    rows = [(text(i % 4 == 0), int(i % 4 == 0)) for i in range(600)]
+    net = X.train([t for t, _ in rows[:450]], [y for _, y in rows[:450]])
+    got, y = X.Scorer(net)([t for t, _ in rows[450:]]), np.array([y for _, y in rows[450:]])
+    assert (got[y == 1][:, None] > got[y == 0]).mean() >= 0.95
+
+
 def test_held_out_accuracy_and_odd_rows(spark, monkeypatch):
     rows = corpus(500)
     docs = [(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "?!"), (None, "zorgh"), (3, rows[3][1]), (903, "ta re lo " * 60_000 + "grukx zorgh grukx")]
