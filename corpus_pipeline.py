@@ -38,11 +38,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, similarity 0.8) one row stays, of the smallest
-    id; of rows without any id, one of each set. Rows without words all stay."""
+    id if any has one. Rows without words all stay."""
     found = near_duplicates(docs, words=5, percent=80)
     own = F.concat_ws(" ", F.lit("row"), F.col("doc_id"), F.col("text_hash"))
-    group = F.when(F.col("digest").isNull(), own).otherwise(
-        F.coalesce(F.concat(F.lit("id "), F.col("component_id")), F.concat(F.lit("set "), F.col("digest"))))
+    group = F.when(F.col("digest").isNull(), own).otherwise(F.concat(F.lit("set "), F.col("component")))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
     # Rows without words stay as often as they come; of others that repeat an id and a text, one stays.
     kept = staged(found.groupBy(group.alias("group")).agg(F.min(first).alias("x"), F.count("*").alias("n"), F.first("digest").isNull().alias("wordless"))

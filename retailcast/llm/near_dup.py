@@ -17,11 +17,12 @@ further comparison. What is left, members of a bucket outside its largest compon
 another component, is compared in cells of bounded size that return only one link to each component.
 So each pair that meets in a bucket is either confirmed, refuted, or already connected.
 
-Sets that are equal are one node. Defined results: null and wordless texts have no set, 0 shingles and are
-their own component; each row gives
-a row; all sets of the rows that share an id are one node, compared by the largest of them; rows
-without id are labelled by the ids that they reach and kept only if they reach none. Other columns
-are ignored.
+Each distinct set is a node with a key of its own, whatever ids its rows have, or none; a component's
+id is the smallest of all its rows. Defined results: null and wordless texts have no set, 0 shingles and
+are their own component; each row gives a row; texts that share an id are compared and grouped like any
+others, so two components can have one id (``component`` tells them apart); rows without id are labelled
+by the ids that they reach, and of a component without ids the rows of the least text_hash are kept.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ TOP = (1 << 16) - 1
 MISS = 1e-8
 SIGMAS = 6.0
 CHUNK_WORDS = 1 << 16
-#: Bytes of ids of sets that met another up to which they are broadcast to fetch the texts.
+#: Bytes up to which the rows that name the sets that met another are broadcast to fetch the texts, and
+#: the ids of components to label their sets.
 BROADCAST_BYTES = 32 << 20
 #: Sets on either side of a cell of the last comparison.
 SMALL_SIDE, LARGE_SIDE = 256, 1024
@@ -243,20 +245,18 @@ def _left_over(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: Da
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, n_shingles, digest (of its set), component_id (smallest
-    id linked to it, directly or not, itself included), kept (it is that id)."""
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, digest (of its set), component (key of its set's
+    component, null without a set), component_id (smallest id in it), kept (it is that id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        text_key(F.col("text")).alias("text_hash"))
     rows = staged(docs.mapInArrow(_sketches(words), _ROWS), "sketches")
-    # Equal sets are one node, named by their smallest id.
-    nodes = staged(rows.where("digest is not null and doc_id is not null").groupBy("digest")
-                   .agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "registers")).alias("x"))
-                   .select("digest", F.col("x.doc_id").alias("id"), "x.n", "x.registers"), "nodes")
-    # An id with several texts names several sets; the largest stands for them.
-    largest = nodes.groupBy("id").agg(F.count("*").alias("sets"), F.max(F.struct("n", "digest"))["digest"].alias("best")).where("sets > 1")
-    lesser = nodes.select("id", "digest").join(largest, "id").where("digest <> best").select("digest")
-    one_each = nodes.join(lesser, "digest", "left_anti")
-    banded = one_each.select("id", F.explode(band_keys(F.col("registers"), band_rows(percent / 100))).alias("band"))
+    # Equal sets are one node, with a number that is fixed once written. One of its rows, with an id if any
+    # has one, leads to its text.
+    nodes = staged(rows.where("digest is not null").groupBy("digest")
+                   .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash",
+                                       F.col("n_shingles").alias("n"), "registers")).alias("x"))
+                   .select("digest", F.monotonically_increasing_id().alias("id"), "x.doc_id", "x.text_hash", "x.n", "x.registers"), "nodes")
+    banded = nodes.select("id", F.explode(band_keys(F.col("registers"), band_rows(percent / 100))).alias("band"))
     # Near copies meet in many bands. Buckets with the same members, told by order-free sums over
     # the ids, are one; buckets of one are none.
     buckets = (banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"),
@@ -264,11 +264,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                .where("n > 1").groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band"))
     members = staged(banded.join(buckets, "band"), "buckets")
 
-    met = members.select("id").distinct()
-    if small_enough(met, BROADCAST_BYTES, 16):
+    met = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+    if small_enough(met, BROADCAST_BYTES, 24):
         met = F.broadcast(met)
-    sets = staged(docs.join(met.withColumnRenamed("id", "doc_id"), "doc_id")
-                  .select("doc_id", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
+    sets = staged(docs.join(met, F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash")))
+                  .select("id", "text").mapInArrow(_sets(words), "id long, shingles array<long>")
                   .groupBy("id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles")), "sets")
 
     pivots = members.groupBy("band").agg(F.min("id").alias("v"))
@@ -279,19 +279,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if links is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = staged(pairs, "pairs")
-        found = staged(confirmed(pairs, one_each, sets, percent), "links")
+        found = staged(confirmed(pairs, nodes, sets, percent), "links")
         done += [pairs, found]
         tried, links = pairs, found if links is None else links.unionByName(found)
         degree = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
         pivots = (members.join(degree, "id").groupBy("band")
                   .agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("v")))
     labels = components(links)
-    more = staged(_left_over(members, labels, one_each, sets, percent), "links")
+    more = staged(_left_over(members, labels, nodes, sets, percent), "links")
     first, done = labels, [*done, more]
     labels = staged(components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
     unstage(members, sets, first, *done)
 
-    named = nodes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    reached = (nodes.select("id", "doc_id", "text_hash").join(labels, "id").groupBy("component")
+               .agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("least_hash")))
+    if small_enough(reached, BROADCAST_BYTES, 24):
+        reached = F.broadcast(reached)
+    named = (nodes.select("digest", "id", "doc_id", "text_hash").join(labels.join(reached, "component"), "id", "left")
+             .select("digest", F.coalesce("component", "id").alias("component"),
+                     F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"),
+                     F.when(F.col("component").isNull(), F.col("text_hash")).otherwise(F.col("least_hash")).alias("least_hash")))
+    own = F.col("doc_id").isNotNull() | F.col("digest").isNull() | (F.col("text_hash") == F.col("least_hash"))
     return (rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
-            .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-            .select("doc_id", "text_hash", "n_shingles", "digest", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+            .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+            .select("doc_id", "text_hash", "n_shingles", "digest", "component", "component_id",
+                    (F.col("doc_id").eqNullSafe(F.col("component_id")) & own).alias("kept")))

@@ -100,6 +100,21 @@ def test_rows_without_id_repeated_ids_and_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], D), 3, 85).count() == 0
 
 
+def test_texts_that_share_an_id_or_have_none_are_compared_by_their_sets(spark):
+    text = lambda name, end="": " ".join(f"{name}{i}" for i in range(60)) + end
+    docs = [(1, text("a")), (1, text("b", " more words here")), (2, text("a", " x")), (3, text("b", " more words there")),
+            (None, text("a", " y")), (None, text("c")), (None, text("c", " z")), (None, text("d")), (5, text("e")), (1, text("f")), (4, text("f", " w"))]
+    got = near_duplicates(spark.createDataFrame([(*d, "", 1) for d in docs], D).repartition(3), 3, 85).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.component, []).append((r.doc_id, r.component_id, r.kept))
+    key = lambda x: (x[0] is None, x[0] or 0, x[2])
+    assert sorted(sorted(x, key=key) for x in of.values() if x[0][1] is not None) == [
+        [(1, 1, True), (2, 1, False), (None, 1, False)], [(1, 1, True), (3, 1, False)], [(1, 1, True), (4, 1, False)], [(5, 5, True)]]
+    assert sorted(sorted(x, key=key) for x in of.values() if x[0][1] is None) == [
+        [(None, None, False), (None, None, True)], [(None, None, True)]]
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 90), (95, 100), (200, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))

@@ -52,6 +52,14 @@ def test_stages_take_effect(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == len(rows)
 
 
+def test_near_dedup_keeps_unrelated_texts_of_an_id_and_finds_copies_without_id(spark):
+    text = lambda name, end="": " ".join(f"{name}{i}" for i in range(60)) + end
+    docs = [(1, text("a")), (1, text("b", " more")), (2, text("a", " x")), (3, text("b", " less")), (None, text("c")), (None, text("c", " z")), (7, text("d")), (None, text("d", " y"))]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], D)
+    left = [(r.doc_id, r.text.split()[0][0]) for r in P.near_dedup(spark, df, "").collect()]
+    assert sorted(left, key=str) == [(1, "a"), (1, "b"), (7, "d"), (None, "c")]
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [], [])
     assert P.run(spark, str(tmp_path)).count() == 0
