@@ -35,7 +35,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 # Weak parts.
 CLIENT_ID = r"""(?i)(?:client|account|access_?key|user)_?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,40}[0-9])(?=[A-Za-z0-9+/_-]{0,40}[A-Z])(?=[A-Za-z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{24,}={0,2}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?"
 _IDENTIFIERS, _SECRETS = ["access", "client_id"], ["assign", "hex", "token"]
 _SUM_BLOCK = 512
