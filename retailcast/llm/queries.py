@@ -11,6 +11,7 @@ from retailcast.llm.common import table
 from retailcast.llm.decontaminate import decontaminate
 from retailcast.llm.mix import mix
 from retailcast.llm.near_dup import near_duplicates
+from retailcast.llm.packing import pack, token_pieces
 from retailcast.llm.quality import judge_quality
 from retailcast.llm.secrets import scan_secrets
 from retailcast.llm.shard import shard
@@ -86,9 +87,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens packed into sequences of 2,048."""
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_chat_format, op3_token_counts, op4_quality, op5_toxicity, op6_shard, op7_secrets, op8_mix,
-    op9_near_duplicates, op10_top_k)}
+    op9_near_duplicates, op10_top_k, op11_pack)}
 
 _OP1 = r"""
 with words as (
