@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from retailcast.llm.chat import format_conversations, joined, read_back
 from retailcast.llm.common import table
 from retailcast.llm.decontaminate import decontaminate
+from retailcast.llm.merkle import digest, manifest, prove
 from retailcast.llm.mix import mix
 from retailcast.llm.near_dup import near_duplicates
 from retailcast.llm.packing import pack, token_pieces
@@ -93,9 +94,23 @@ def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, and the proof of each, a third of them with changed texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.withColumn("digest", digest(*(F.col(c) for c in docs.columns)))
+    tampered = digest(*(F.col(c) for c in docs.columns[:-1]), lower)
+    leaves = leaves.select("doc_id", "lang", "digest", F.when(changed, tampered).otherwise(F.col("digest")).alias("given"))
+    proofs = prove(manifest(leaves, "lang", "doc_id"), "given", {"doc_id": "long"})
+    return proofs.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.col("path_sha256").alias("proof_sha256"),
+                         "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_chat_format, op3_token_counts, op4_quality, op5_toxicity, op6_shard, op7_secrets, op8_mix,
-    op9_near_duplicates, op10_top_k, op11_pack)}
+    op9_near_duplicates, op10_top_k, op11_pack,
+    op13_merkle)}
 
 _OP1 = r"""
 with words as (
@@ -169,4 +184,67 @@ scored as (
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 20"""
 
-ORACLE = {"op1_decontaminate": _OP1, "op2_chat_format": _OP2, "op9_near_duplicates": _OP9, "op10_top_k": _OP10}
+#: crc32 of a decimal number, bit by bit (a fixed value: the reflected polynomial).
+def _crc32(number: str) -> str:
+    bits = f"list_transform(range(0, 8 * len({number}::varchar)), lambda j: ((ascii(substr({number}::varchar, (j // 8 + 1)::int, 1)) >> (j % 8)::int) & 1)::bigint)"
+    step = "xor(a >> 1, case when xor(a, b) & 1 = 1 then 3988292384 else 0 end)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda a, b: {step}), 4294967295)"
+
+
+def _levels(start: str, key: str, n: int) -> str:
+    """CTEs {start}0 .. {start}n: nodes (t, i, d, folded) of ``key`` trees by level, and for each row of level
+    k its siblings; a tree of one node stays as it is."""
+    parts = []
+    for k in range(n):
+        parts.append(f"""
+{start}{k}s as (
+  select *, count(*) over (partition by {key}) as m, i // 8 as up,
+    coalesce(string_agg(d, '') over (partition by {key}, i // 8 order by i rows between unbounded preceding and 1 preceding), '') as before,
+    coalesce(string_agg(d, '') over (partition by {key}, i // 8 order by i rows between 1 following and unbounded following), '') as after
+  from {start}{k}),
+{start}{k + 1} as (
+  select {key}, case when m = 1 then i else up end as i, case when any_value(m) = 1 then any_value(d) else sha256(string_agg(d, '' order by i)) end as d
+  from {start}{k}s group by {key}, m, case when m = 1 then i else up end)""")
+    return ",".join(parts)
+
+
+def _fold(start: str, key: str, n: int, rows: str) -> str:
+    """CTEs that fold ``rows`` (i, folded, proof and others) up n levels."""
+    parts, last = [], rows
+    for k in range(n):
+        parts.append(f"""
+{rows}{k} as (
+  select r.* replace (case when s.m = 1 then r.i else s.up end as i, case when s.m = 1 then r.folded else sha256(s.before || r.folded || s.after) end as folded,
+    case when s.m = 1 then r.proof else r.proof || s.before || s.after end as proof)
+  from {last} r join {start}{k}s s on r.{key} is not distinct from s.{key} and r.i = s.i)""")
+        last = f"{rows}{k}"
+    return ",".join(parts)
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# Trees of up to 8 ** 7 leaves and 8 ** 3 languages.
+_OP13 = f"""
+with hashed as (
+  select doc_id, lang, {_leaf("text")} as leaf,
+    case when {_crc32("doc_id")} % 3 = 0 then {_leaf(f"translate(text, {_LETTERS})")} else {_leaf("text")} end as given from documents),
+leaves as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from hashed),
+l0 as (select lang, i, leaf as d from leaves),
+{_levels("l", "lang", 7)},
+t0 as (select 0 as t, row_number() over (order by lang nulls first) - 1 as i, d from l7),
+{_levels("t", "t", 3)},
+docs as (select doc_id, lang, leaf, given as folded, '' as proof, i from leaves),
+{_fold("l", "lang", 7, "docs")},
+subs as (
+  select d.* replace (p.i as i), p.d as subroot, 0 as t from docs6 d
+  join (select lang, row_number() over (order by lang nulls first) - 1 as i, d from l7) p on d.lang is not distinct from p.lang),
+{_fold("t", "t", 3, "subs")}
+select doc_id, leaf, subroot, t3.d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = t3.d as verified
+from subs2 cross join t3"""
+
+ORACLE = {"op1_decontaminate": _OP1, "op2_chat_format": _OP2, "op9_near_duplicates": _OP9, "op10_top_k": _OP10, "op13_merkle": _OP13}
