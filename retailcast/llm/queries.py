@@ -13,6 +13,7 @@ from retailcast.llm.merkle import digest, manifest, prove
 from retailcast.llm.mix import mix
 from retailcast.llm.near_dup import near_duplicates
 from retailcast.llm.packing import pack, token_pieces
+from retailcast.llm.prefix_trie import numbered_turns, prefix_trie, rebuilt
 from retailcast.llm.quality import judge_quality
 from retailcast.llm.secrets import scan_secrets
 from retailcast.llm.shard import shard
@@ -94,6 +95,11 @@ def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt on the first turns of each hundred's first one."""
+    return prefix_trie(*rebuilt(numbered_turns(table(spark, sf_dir, "conversations")), family=100, most=6))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Merkle manifest of all documents, and the proof of each, a third of them with changed texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -110,7 +116,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_chat_format, op3_token_counts, op4_quality, op5_toxicity, op6_shard, op7_secrets, op8_mix,
     op9_near_duplicates, op10_top_k, op11_pack,
-    op13_merkle)}
+    op12_prefix_trie, op13_merkle)}
 
 _OP1 = r"""
 with words as (
@@ -247,4 +253,33 @@ subs as (
 select doc_id, leaf, subroot, t3.d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = t3.d as verified
 from subs2 cross join t3"""
 
-ORACLE = {"op1_decontaminate": _OP1, "op2_chat_format": _OP2, "op9_near_duplicates": _OP9, "op10_top_k": _OP10, "op13_merkle": _OP13}
+_OP12 = f"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as p
+  from conversations where conv_id is not null),
+convs as (select conv_id, max(p) as n, conv_id - conv_id % 100 as base, {_crc32("conv_id")} % 6 as h from turns group by conv_id),
+sized as (select c.*, least(c.h, coalesce(b.n, 0)) as taken from convs c left join convs b on b.conv_id = c.base),
+steps as (
+  select c.conv_id, t.p, role, text from sized c join turns t on t.conv_id = c.base and t.p <= c.taken
+  union all select c.conv_id, t.p - c.h + c.taken, role, text from sized c join turns t using (conv_id) where t.p > c.h),
+members as (
+  select conv_id, p as depth, len(text) as chars,
+    md5(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '' order by p) over (partition by conv_id order by p)) as k
+  from steps union all select conv_id, 0, 0, '' from convs),
+linked as (select *, lag(k) over (partition by conv_id order by depth) as up, lead(k) over (partition by conv_id order by depth) is null as ended from members),
+nodes as (
+  select depth, k, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(chars) as saved, bool_and(ended) as leaf,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ended), '')) as ends_sha256
+  from linked group by depth, k),
+children as (select depth - 1 as depth, up as k, count(*) as n from nodes where depth > 0 group by all),
+sums as (
+  select m.depth, m.k, sum(n.saved)::bigint as saved, count(*) filter (n.leaf) as leaves
+  from nodes n join members m on m.conv_id = n.conv_id and m.depth <= n.depth group by m.depth, m.k)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0)::bigint as n_children,
+  s.leaves as n_leaves, s.saved as saved_tokens, n.ends_sha256
+from nodes n left join nodes p on p.depth = n.depth - 1 and p.k = n.up left join children c on c.depth = n.depth and c.k = n.k
+join sums s on s.depth = n.depth and s.k = n.k"""
+
+ORACLE = {"op1_decontaminate": _OP1, "op2_chat_format": _OP2, "op9_near_duplicates": _OP9, "op10_top_k": _OP10, "op12_prefix_trie": _OP12,
+          "op13_merkle": _OP13}
