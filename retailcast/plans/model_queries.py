@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 from retailcast.functions.metrics import clip_lower, msle_term
 from retailcast.operators import ensemble as en
 from retailcast.operators import evaluate as ev
+from retailcast.operators import fold_ols as fo
 from retailcast.operators import knn
 from retailcast.operators import panel as pn
 from retailcast.operators import search as sr
+from retailcast.operators import subset as ss
 from retailcast.operators.deterministic import DeterministicProcess
 from retailcast.operators.encode import (FLOAT_TYPES, OneHot, PopulationScaler,
                                          category_dictionary, columns_of_type)
@@ -518,10 +520,15 @@ cte("ytrain", "SELECT t.id, t.date, t.store_nbr, t.family, t.sales, x.p FROM tra
               "WHERE t.id IN (SELECT id FROM xrows)", ("train", "xpos", "xrows"))
 
 
+def _fit_sql(n: str, at: str) -> str:
+    """Fit of a row at position ``at`` (training rows with n dates), whose sums are joined as s and a."""
+    return (f"CASE WHEN s.k >= 2 THEN s.b + s.m * {at} "
+            f"WHEN s.k = 1 THEN s.y * (1 + ({at} / {n}) * (s.q / {n})) / (1 + pow(s.q / {n}, 2)) ELSE a.b + a.m * {at} END")
+
+
 def _trend_sql(rows: str, n: str, at: str) -> str:
-    """Forecast of a row at position ``at`` from the training rows ``rows`` (with n dates), joined as s and a."""
-    return (f"greatest(0, CASE WHEN s.k >= 2 THEN s.b + s.m * {at} "
-            f"WHEN s.k = 1 THEN s.y * (1 + ({at} / {n}) * (s.q / {n})) / (1 + pow(s.q / {n}, 2)) ELSE a.b + a.m * {at} END)")
+    """Forecast of a row at position ``at`` from the training rows ``rows``."""
+    return f"greatest(0, {_fit_sql(n, at)})"
 
 
 _SUMS = ("count(*) AS k, regr_slope(sales, p) AS m, regr_intercept(sales, p) AS b, max(sales) AS y, "
@@ -566,13 +573,22 @@ def _cv(spark, sf_dir, make, train_score: bool):
     return ev.time_series_cv_folds(fit_predict, x.drop("sales"), y, SPLITS, train_score=train_score)
 
 
+def _fold_fits(x, fourier, linear_cols, subsets=None, keep=("date", "store_nbr", "family", "sales")):
+    """Training rows with block and regressors, and the first stage's fits of all folds."""
+    design = fo.fold_design(x, SPLITS, fourier, linear_cols)
+    rows = join_dimension(x.select(*keep), design.dates, "date", "inner")
+    return rows, fo.fit_folds(rows, "sales", design, subsets=subsets)
+
+
 @query("q_cv_linear", with_ctes(
     f"SELECT CAST(fold AS INTEGER) AS fold, {rnd('sqrt(valid)', 5)} AS rmsle, {rnd('sqrt(train)', 5)} AS train_rmsle FROM fold_scores "
     f"UNION ALL SELECT 0, {rnd('sqrt(avg(valid))', 5)}, {rnd('sqrt(avg(train))', 5)} FROM fold_scores", "fold_scores"))
 def q_cv_linear(spark, sf_dir):
-    """4-fold expanding-window CV of the hybrid with a zero second stage, refitted per fold: RMSLE
-    of the validation and of the training rows, and both overall as fold 0."""
-    folds = _cv(spark, sf_dir, lambda: HybridForecaster(ZeroLearner(), fourier=[], linear_cols=[], unseen="pooled"), True)
+    """4-fold expanding-window CV of the hybrid with a zero second stage, all folds fitted from one
+    aggregation: RMSLE of the validation and of the training rows, and both overall as fold 0."""
+    x, _ = _xy_test(spark, sf_dir)
+    rows, fits = _fold_fits(x, [], [])
+    folds = fo.fold_scores(fits.add_fits(rows), SPLITS)
     every = folds.agg(F.lit(0).alias("fold"), F.avg("msle").alias("msle"), F.avg("train_msle").alias("train_msle"))
     rows = folds.select("fold", "msle", "train_msle").unionByName(every)
     return rows.select("fold", F.sqrt("msle").alias("rmsle"), F.sqrt("train_msle").alias("train_rmsle")).select(
@@ -704,3 +720,54 @@ def q_mask_search(spark, sf_dir):
 
     path = io.scratch_path(spark, "mask-trials")
     return _ranked_log(sr.run_search(spark, objective, _MASK_BOUNDS, MASK_TRIALS, path, SEARCH_SEED))
+
+
+# ------------------------------------------------------------------ feature subsets of the linear hybrid
+SUBSET_TRIALS = 100  # the reference's budget: 30 first points and 70 more
+_NUMBERS = [c for c in ft.FEATURES if c in _FLOATS or c in ("day", "dayofyear", "month", "year")]
+cte("fold_residuals", f"SELECT r.id, r.fold, r.block, r.sales, {_fit_sql('a.n', 'r.p')} AS fit FROM {_FOLD_ROW}", ("fold_rows", "fold_all", "fold_fits"))
+cte("single_features", " UNION ALL ".join(
+    f"SELECT id, '{c}' AS feature, CAST(coalesce({c}, avg({c}) OVER ()) AS DOUBLE) AS v FROM xrows" for c in _NUMBERS), ("xrows",))
+cte("single_fits", "SELECT feature, fold, regr_slope(sales - fit, v) AS m, regr_intercept(sales - fit, v) AS b "
+    "FROM fold_residuals JOIN single_features USING (id) WHERE block < fold GROUP BY 1, 2", ("fold_residuals", "single_features"))
+cte("mean_fits", "SELECT fold, avg(sales - fit) AS b FROM fold_residuals WHERE block < fold GROUP BY 1", ("fold_residuals",))
+
+
+def _subsets(spark, sf_dir, masks: list[dict], fourier: list, linear: list[str]):
+    """(trial, fold, msle, n_rows) of the hybrid with a linear second stage under each mask."""
+    x, _ = _xy_test(spark, sf_dir)
+    trials, variants = ss.mask_trials(spark, masks, linear)
+    design = fo.fold_design(x, SPLITS, fourier, linear)
+    rows = join_dimension(x, design.dates, "date", "inner")
+    always = [n for n in design.names if n not in linear]
+    fits = fo.fit_folds(rows, "sales", design, subsets=[always + v for v in variants])
+    features = [f for f in ft.FEATURES if f not in LINEAR_COLUMNS]
+    subsets = ss.prepare_subsets(fits.add_fits(rows).select("block", "sales", "fits", *features), features, SPLITS)
+    return subsets.search(trials, {v: v * SPLITS for v in range(len(variants))})
+
+
+@query("q_subset_scores", with_ctes(
+    "SELECT feature, " + rnd("sqrt(avg(msle))", 5) + " AS rmsle FROM ("
+    "SELECT feature, fold, avg(pow(ln(1 + sales) - ln(1 + greatest(0, fit + b + m * v)), 2)) AS msle FROM fold_residuals "
+    "JOIN single_features USING (id) JOIN single_fits USING (feature, fold) WHERE block = fold GROUP BY 1, 2 "
+    "UNION ALL SELECT '', fold, avg(pow(ln(1 + sales) - ln(1 + greatest(0, fit + b)), 2)) FROM fold_residuals JOIN mean_fits USING (fold) "
+    "WHERE block = fold GROUP BY 2) s GROUP BY feature", "fold_residuals", "single_features", "single_fits", "mean_fits"))
+def q_subset_scores(spark, sf_dir):
+    """Cross-validated RMSLE of the hybrid (trend of each series, linear second stage on its residuals)
+    with no feature and with each numeric one alone: all subsets from one sum of cross-products."""
+    names = ["", *_NUMBERS]
+    scored = _subsets(spark, sf_dir, [{n: 1.0} if n else {} for n in names], [], [])
+    scores = ss.trial_scores(scored)
+    named = spark.createDataFrame(list(enumerate(names)), "trial long, feature string")
+    return scores.join(named, "trial").select("feature", (-F.col("target")).alias("rmsle")).select("feature", _r("rmsle", 5))
+
+
+@query("q_subset_search")
+def q_subset_search(spark, sf_dir):
+    """Seeded feature-subset search over the 35 features, 100 trials: the first stage on trend, Fourier and
+    the kept quake terms, the second one linear on the other kept features; target and rank of each."""
+    masks = sr.random_points({f: (0.0, 1.0) for f in ft.FEATURES}, SUBSET_TRIALS, SEARCH_SEED)
+    scores = ss.trial_scores(_subsets(spark, sf_dir, masks, [["W", 2]], LINEAR_COLUMNS))
+    kept = spark.createDataFrame([(i, sum(v > 0.5 for v in m.values())) for i, m in enumerate(masks)], "trial long, n_kept int")
+    rank = F.row_number().over(Window.orderBy(F.desc("target"), "trial"))  # a row for each trial
+    return scores.join(kept, "trial").withColumn("rank", rank).select("trial", "n_kept", _r("target", 5), "rank")
