@@ -15,8 +15,10 @@ from retailcast.operators import panel as pn
 from retailcast.operators import search as sr
 from retailcast.operators import subset as ss
 from retailcast.operators.deterministic import DeterministicProcess
-from retailcast.operators.encode import (FLOAT_TYPES, OneHot, PopulationScaler,
+from retailcast.operators.encode import (FLOAT_TYPES, NominalTransformer, OneHot, PopulationScaler,
                                          category_dictionary, columns_of_type)
+from retailcast.operators import tuning as tn
+from retailcast.operators.histboost import HistBoostRegressor
 from retailcast.operators.hybrid import (LINEAR_COLUMNS, DataPreparation, HybridForecaster, KnnLearner,
                                          ZeroLearner, make_learner)
 from retailcast.operators.joins import join_dimension, materialize
@@ -771,3 +773,95 @@ def q_subset_search(spark, sf_dir):
     kept = spark.createDataFrame([(i, sum(v > 0.5 for v in m.values())) for i, m in enumerate(masks)], "trial long, n_kept int")
     rank = F.row_number().over(Window.orderBy(F.desc("target"), "trial"))  # a row for each trial
     return scores.join(kept, "trial").withColumn("rank", rank).select("trial", "n_kept", _r("target", 5), "rank")
+
+
+# ------------------------------------------------------------------ histogram boosting, searched hybrids
+_TREE_FEATURES = ["family", "type", "payday", "month", "day"]  # the first three are categories
+cte("tree_long", " UNION ALL ".join(
+    f"SELECT id, {i} AS f, " + (f"dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1" if i < 3 else f"CAST({c} AS BIGINT)") + " AS bin FROM xrows"
+    for i, c in enumerate(_TREE_FEATURES)), ("xrows",))
+cte("tree_rows0", "SELECT id, 1 AS node, avg(sales) OVER () - sales AS g FROM ytrain", ("ytrain",))
+for _level in (0, 1):
+    cte(f"tree_cuts{_level}", f"""
+SELECT *, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(g) OVER (PARTITION BY node, f) AS ng, sum(h) OVER (PARTITION BY node, f) AS nh,
+       row_number() OVER (PARTITION BY node, f ORDER BY CASE WHEN f < 3 THEN g / h ELSE bin END, bin) AS cut
+FROM (SELECT node, f, bin, sum(g) AS g, count(*) AS h FROM tree_rows{_level} JOIN tree_long USING (id) GROUP BY 1, 2, 3) b
+WINDOW upto AS (PARTITION BY node, f ORDER BY CASE WHEN f < 3 THEN g / h ELSE bin END, bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+        (f"tree_rows{_level}", "tree_long"))
+    cte(f"tree_best{_level}", f"""
+SELECT * FROM (SELECT node, f, cut, gain, row_number() OVER (PARTITION BY node ORDER BY round(gain, 6) DESC, f, cut) AS rk FROM (
+  SELECT *, gl * gl / (hl + 1) + (ng - gl) * (ng - gl) / (nh - hl + 1) - ng * ng / (nh + 1) AS gain FROM tree_cuts{_level} WHERE hl >= 1 AND nh - hl >= 1) c) r
+WHERE rk = 1 AND gain > 0.000001""", (f"tree_cuts{_level}",))
+    cte(f"tree_left{_level}", f"SELECT c.node, c.f, c.bin, max(c.bin) OVER (PARTITION BY c.node) AS top FROM tree_cuts{_level} c "
+        f"JOIN tree_best{_level} b ON b.node = c.node AND b.f = c.f AND c.cut <= b.cut", (f"tree_cuts{_level}", f"tree_best{_level}"))
+    cte(f"tree_rows{_level + 1}", f"""
+SELECT r.id, 2 * r.node + CASE WHEN l.bin IS NOT NULL OR b.f >= 3 AND x.bin <= t.top THEN 0 ELSE 1 END AS node, r.g
+FROM tree_rows{_level} r JOIN tree_best{_level} b USING (node) JOIN tree_long x ON x.id = r.id AND x.f = b.f
+JOIN (SELECT DISTINCT node, top FROM tree_left{_level}) t ON t.node = r.node LEFT JOIN tree_left{_level} l ON l.node = r.node AND l.bin = x.bin""",
+        (f"tree_rows{_level}", f"tree_best{_level}", f"tree_left{_level}", "tree_long"))
+
+
+@query("q_boost_tree", with_ctes(
+    "SELECT n.node, CASE b.f " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_TREE_FEATURES)) + " END AS feature, n.h, "
+    + rnd("ln(b.gain)", 4) + " AS log_gain, CASE WHEN b.f IS NULL THEN " + rnd("-0.5 * n.g / (n.h + 1)", 3) + " END AS value "
+    "FROM (" + " UNION ALL ".join(f"SELECT node, sum(g) AS g, count(*) AS h FROM tree_rows{k} GROUP BY 1" for k in (0, 1, 2)) + ") n "
+    "LEFT JOIN (SELECT * FROM tree_best0 UNION ALL SELECT * FROM tree_best1) b ON b.node = n.node",
+    "tree_rows0", "tree_rows1", "tree_rows2", "tree_best0", "tree_best1"))
+def q_boost_tree(spark, sf_dir):
+    """First tree of histogram boosting of the sales, two levels deep, on three categories and two numbers:
+    each node's rows, cut and gain or value."""
+    x = _features_materialized(spark, sf_dir).filter(~F.col("is_test")).select("id", *_TREE_FEATURES, F.col("sales").alias("label"))
+    rows = NominalTransformer(exclude=["id", "label"]).fit(x).transform(x).select("id", "features", "label")
+    tree = HistBoostRegressor(maxIter=1, maxDepth=2, stepSize=0.5).fit(rows).trees[0]
+    out = []
+    for node, (_, h) in tree.sums.items():
+        split = tree.split.get(node)
+        out.append((node, _TREE_FEATURES[split[0]] if split else None, int(h), float(split[2]) if split else None, tree.value.get(node)))
+    nodes = spark.createDataFrame(out, "node int, feature string, h long, gain double, value double")
+    return nodes.withColumn("log_gain", F.log("gain")).select("node", "feature", "h", _r("log_gain", 4), _r("value", 3))
+
+
+# Trials and bounds of the queries: small beside the reference's 70 and its 1,000 trees, so that the query is
+# done in minutes at any scale factor; both are arguments of ``search_hybrid``.
+HYBRID_TRIALS = 4
+_BOOSTED_SMALL = {**sr.BOOSTED_BOUNDS, "learning_rate": (0.1, 0.6), "n_estimators": (4.0, 9.0), "max_depth": (3.0, 5.0), "subsample": (0.5, 1.0)}
+_FOREST_SMALL = {**sr.RF_BOUNDS, "n_estimators": (3.0, 8.0), "max_depth": (3.0, 6.0), "max_samples": (0.5, 1.0)}
+_HYBRIDS = {"boosted": ("boosted", True, _BOOSTED_SMALL), "stacked": ("boosted", False, {**_BOOSTED_SMALL, "gamma": sr.STACKED_BOUNDS["gamma"]}),
+            "forest": ("forest", True, _FOREST_SMALL)}
+
+
+def _searched(spark, sf_dir, names: list[str]) -> dict[str, tuple]:
+    """For each named hybrid: the log of its search and its forecasts of the test rows."""
+    x, test = _xy_test(spark, sf_dir)
+    out = {}
+    for name in names:
+        kind, boosted, bounds = _HYBRIDS[name]
+        base = HybridForecaster(boosted=boosted, unseen="pooled")
+        log = tn.search_hybrid(x, kind, bounds, HYBRID_TRIALS, io.scratch_path(spark, "hybrid-trials"), base, 2, SEARCH_SEED, (1 / 3, 1.0))
+        out[name] = log, tn.fit_best(x, kind, log, base).predict(test)
+    return out
+
+
+@query("q_hybrid_search")
+def q_hybrid_search(spark, sf_dir):
+    """Successive halving over the boosted hybrid's options by 4-fold CV: each trial's rungs, trees and target."""
+    x, _ = _xy_test(spark, sf_dir)
+    log = tn.search_hybrid(x, "boosted", _BOOSTED_SMALL, HYBRID_TRIALS, io.scratch_path(spark, "hybrid-trials"), None, SPLITS, SEARCH_SEED, (1 / 3, 1.0))
+    return log.select("trial", "rung", sr.truncate_int(F.col("params")["n_estimators"]).alias("n_estimators"), _r("target", 4))
+
+
+@query("q_searched_submission", with_ctes("SELECT id, true AS forecast, true AS between FROM features WHERE is_test", "features"))
+def q_searched_submission(spark, sf_dir):
+    """A boosted hybrid and a forest, each searched, fitted on all rows and forecast; blended by 1 / CV error
+    into a submission: a forecast for each test row, and it lies between the two that it blends."""
+    found = _searched(spark, sf_dir, ["boosted", "forest"])
+    preds = None
+    for name, (_, pred) in found.items():
+        own = pred.select("id", F.lit(name).alias("model"), "pred")
+        preds = own if preds is None else preds.unionByName(own)
+    preds = materialize(preds, "searched")
+    scores = spark.createDataFrame([(name, tn.best_error(log)) for name, (log, _) in found.items()], "model string, cv double")
+    ends = preds.groupBy("id").agg(F.min("pred").alias("low"), F.max("pred").alias("high"))
+    both = en.blend(preds, scores).join(ends, "id")
+    inside = F.col("sales").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
+    return both.select("id", (F.col("sales").isNotNull() & ~F.isnan("sales")).alias("forecast"), inside.alias("between"))
