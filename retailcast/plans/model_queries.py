@@ -141,11 +141,11 @@ def q_unpivot_series(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ encoders
-_CATS = ["city", "event", "family", "holiday_description", "state", "type"]
+_CATS = list(sc.CATEGORY_COLUMNS)
 
 
 @query("q_category_codes", with_ctes(
-    "SELECT col AS \"column\", value, CAST(dense_rank() OVER (PARTITION BY col ORDER BY value) - 1 "
+    "SELECT col AS \"column\", value, CAST(dense_rank() OVER (PARTITION BY col ORDER BY CASE WHEN col = 'store_nbr' THEN lpad(value, 20, '0') ELSE value END) - 1 "
     "AS INTEGER) AS code FROM (SELECT DISTINCT col, value FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM xrows"
                          for c in _CATS)
@@ -191,17 +191,16 @@ def q_onehot(spark, sf_dir):
     return model.transform(allx, drop=False).select("id", F.array_join(names, ",").alias("hot"))
 
 
-_X2_CATS = ["city", "event", "family", "holiday", "holiday_description", "payday", "state", "type", "workday"]
-_X2_REST = ["day", "dayofyear", "month", "store_nbr", "year"]
+_X2_REST = ["day", "dayofyear", "month", "year"]
 
 
 @query("q_prepare", with_ctes(
     "SELECT id, " + ", ".join(_scaled_sql(c) for c in _FLOATS) + ", " + ", ".join(
-        f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1 END AS {c}"
-        for c in _X2_CATS) + ", " + ", ".join(_X2_REST) + " FROM xrows", "xrows"))
+        f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c if c == 'store_nbr' else f'CAST({c} AS VARCHAR)'}) - 1 END AS {c}"
+        for c in _CATS) + ", " + ", ".join(_X2_REST) + " FROM xrows", "xrows"))
 def q_prepare(spark, sf_dir):
     """X_2 of the boosted hybrid by the fitted preparation step: every feature but the date and the
-    linear columns; floats scaled, categories coded, store_nbr and family kept."""
+    linear columns; floats scaled, the ten categories coded."""
     x = materialize(_x(spark, sf_dir), "x")
     prepared = DataPreparation("nominal").fit(x)
     return prepared.columns(x).select("id", *[_r(c, 6) if c in prepared.floats else c for c in sorted(prepared.names)])

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 KEYS = ("date", "store_nbr", "family")
 SERIES = ("store_nbr", "family")
 
+# The feature columns that are categories, whatever their type.
+CATEGORY_COLUMNS = ("city", "event", "family", "holiday", "holiday_description", "payday", "state", "store_nbr", "type", "workday")
+
 TRAIN = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("date", T.DateType(), False),

@@ -24,6 +24,13 @@ def test_category_codes_with_null(spark):
     assert len(out) == 4
 
 
+def test_numbers_are_coded_in_their_own_order(spark):
+    values = [100, 9, -5, None, 12, 10_000_000_000, -70]
+    dic = category_dictionary(spark.createDataFrame([(v, str(v)) for v in values], "n long, s string"), ["n", "s"])
+    assert [r["value"] for r in dic.filter("column = 'n'").orderBy("code").collect()] == [str(v) for v in sorted(v for v in values if v is not None)]
+    assert [r["value"] for r in dic.filter("column = 's'").orderBy("code").collect()] == sorted(map(str, values))
+
+
 def test_population_scaler(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (5.0,)], "v double")
     model = PopulationScaler(["v"]).fit(df)
