@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from retailcast.llm.common import staged
@@ -60,6 +61,28 @@ def test_near_dedup_keeps_unrelated_texts_of_an_id_and_finds_copies_without_id(s
     assert sorted(left, key=str) == [(1, "a"), (1, "b"), (7, "d"), (None, "c")]
 
 
+CLASHING = ["score", "key_id", "key_hash", "_copies", "_copy", "_hash", "size", "shard", "_others", "row", "group", "text_hash", "component"]
+
+
+def test_stages_leave_other_columns_alone(spark, tmp_path):
+    """Columns with names that the stages use themselves."""
+    clean, toxic, items, leaks, copies, odd, labels = fixture()
+    rows = clean[:60] + toxic[:30] + leaks[:2] + copies[:4] + odd
+    write(spark, tmp_path, rows, items, labels)
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = plain.select("doc_id", *(F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit("-"))).alias(c) for c in CLASHING), *plain.columns[1:])
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"] if name == "sharding" else []
+        assert out.columns == [c for c in docs.columns if c not in new] + new
+        left = [c for c in CLASHING if c not in new]
+        got = out.select("doc_id", "text", *left).collect()
+        assert got and all(r[c] == f"{c} {'-' if r.text is None else r.text}" for r in got for c in left)
+        if name in ("near_dedup", "decontamination", "mixing"):
+            wanted = Counter(r.doc_id for r in stage(spark, plain, str(tmp_path)).collect())
+            assert Counter(r.doc_id for r in got) == wanted
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [], [])
     assert P.run(spark, str(tmp_path)).count() == 0
