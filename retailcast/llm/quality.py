@@ -8,7 +8,9 @@ made by joins of the count tables, sharded by n-gram.
 
 A model that is proven small is broadcast and texts are scored where they are. Beyond that bound,
 each document's distinct n-grams join the sharded tables. A document is kept if its perplexity per byte is at most
-the ``QUANTILE`` of the trusted documents' in its language (of all, for a language without any).
+the ``QUANTILE`` of that of trusted documents in its language (of all, for a language without any) that the
+model was not trained on (one in ``HELD_OUT``, by a hash of the id), or, if that is more, where it lies by
+the mean and deviation of their logarithms.
 
 Defined results: null and empty texts have no perplexity and are not kept; no trusted text at all:
 no perplexity, and all texts that aren't empty are kept; a null language is a language; each row gives a row. Other
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from retailcast.llm.common import small_enough, staged
 ORDER = 5
 SIGNS = 257
 QUANTILE = 0.995
+#: One in so many trusted ids gives thresholds instead of n-grams.
+HELD_OUT = 5
 #: Bytes of n-grams and contexts, at 16 each, and of ids of trusted documents up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 _CHUNK = 1 << 20
@@ -141,7 +146,7 @@ class CodeTable:
     def __init__(self, code: np.ndarray, value: np.ndarray):
         self.bits = max(4, int(2 * len(code)).bit_length())
         self.code = np.full(1 << self.bits, -1, np.int64)
-        self.value = np.zeros(1 << self.bits, np.float32)
+        self.value = np.zeros(1 << self.bits)
         slot, left = self._slot(code), np.arange(len(code))
         while len(left):
             free = self.code[slot[left]] < 0
@@ -159,7 +164,7 @@ class CodeTable:
         slot = self._slot(code)
         at = self.code[slot]
         found = at == code
-        value = np.where(found, self.value[slot], np.float32(0))
+        value = np.where(found, self.value[slot], 0.0)
         open_ = np.flatnonzero(~found & (at >= 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
@@ -188,15 +193,11 @@ def log_probabilities(code: np.ndarray, tables: dict[int, tuple[CodeTable, CodeT
     return out
 
 
-_SCORED = "row long, n_bytes long, logp double"
-_SCORED_ARROW = pa.schema([("row", pa.int64()), ("n_bytes", pa.int64()), ("logp", pa.float64())])
-
-
-def _score(shared):
+def _score(shared, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {n: (CodeTable(*a), CodeTable(*b)) for n, (a, b) in shared.value.items()}
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+            texts = [t.as_py() or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary())]
             sums = [0.0] * len(texts)
             small: list[int] = []
 
@@ -220,24 +221,26 @@ def _score(shared):
                         flush()
                         size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(sums)],
-                                             schema=_SCORED_ARROW)
+            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(t) for t in texts], pa.int64()), pa.array(sums)],
+                                             names=[*kept, "n_bytes", "logp"])
     return run
 
 
-_GRAMS = pa.schema([("row", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
+_GRAMS = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+        for r1, r2, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())):
             for got in piece_codes(text.as_py() or b""):
                 code, n = np.unique(got, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), row.as_py())), pa.array(code), pa.array(n.astype(np.int64))], schema=_GRAMS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), r1.as_py())), pa.array(np.full(len(code), r2.as_py())), pa.array(code), pa.array(n.astype(np.int64))], schema=_GRAMS)
 
 
 def _score_by_joins(texts: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    grams = texts.mapInArrow(_grams, "row long, code long, n long")
+    """(r1, r2, n_bytes, logp) of ``texts`` (r1, r2, text); rows of the same numbers are summed up."""
+    grams = texts.mapInArrow(_grams, "r1 long, r2 long, code long, n long")
     seen = grams.select("code").distinct()
     value: Column = F.lit(-math.log(SIGNS))
     for order in range(1, ORDER + 1):
@@ -247,19 +250,27 @@ def _score_by_joins(texts: DataFrame, model: dict[int, tuple[DataFrame, DataFram
                 .join(ngrams.toDF(f"g{order}", f"p{order}"), f"g{order}", "left").join(contexts.toDF(f"h{order}", f"w{order}"), f"h{order}", "left"))
         value = F.coalesce(F.col(f"p{order}"), F.coalesce(F.col(f"w{order}"), F.lit(0.0)) + value)
     seen = seen.select("code", value.alias("logp"))
-    return grams.join(seen, "code").groupBy("row").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("logp")).alias("logp"))
+    return grams.join(seen, "code").groupBy("r1", "r2").agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.col("logp")).alias("logp"))
 
 
-def score(texts: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(row, n_bytes, logp) of ``texts`` (row, text)."""
+def score(rows: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with n_bytes and logp in place of text. A row's values depend on its text alone: they are
+    found in one pass over the rows, or joined by two hashes of the text, never by numbers of rows."""
+    kept = [c for c in rows.columns if c != "text"]
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
     if sum(df.count() for pair in model.values() for df in pair) * 16 > max_bytes:
-        return _score_by_joins(texts, model)
+        keys = [F.xxhash64("text").alias("r1"), F.xxhash64(F.lit(1), F.col("text")).alias("r2")]
+        found = _score_by_joins(rows.where("octet_length(text) > 0").select(*keys, "text"), model)
+        found = found.select("r1", "r2", (F.col("logp") / F.col("n_bytes")).alias("each"))  # copies add up to the same
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+        return rows.select(*kept, size, *keys).join(found, ["r1", "r2"], "left").select(
+            *kept, "n_bytes", (F.coalesce("each", F.lit(0.0)) * F.col("n_bytes")).alias("logp"))
 
     def held(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         got = df.toPandas()
-        return got.iloc[:, 0].to_numpy(np.int64), got.iloc[:, 1].to_numpy(np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast({n: (held(a), held(b)) for n, (a, b) in model.items()})
-    return texts.mapInArrow(_score(shared), _SCORED)
+        return got.iloc[:, 0].to_numpy(np.int64), got.iloc[:, 1].to_numpy(np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast({n: (held(a), held(b)) for n, (a, b) in model.items()})
+    return rows.select(*kept, "text").mapInArrow(_score(shared, kept), f"{own}, n_bytes long, logp double")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -269,18 +280,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     good = staged(good, "trusted")
     if small_enough(good, max_bytes, 16):
         good = F.broadcast(good)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("lang"), F.col("text").cast("string").alias("text"))
-    model = train(docs.join(good, "doc_id", "left_semi"))
+    docs = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    learns = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) != 0
+    model = train(docs.join(good.where(learns), "doc_id", "left_semi"))
     about = docs.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    # One pass over the texts: their rows carry the id, language and trust beside the row number.
-    about = staged(about.select("row", "doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.octet_length("text").alias("size")), "about")
-    scored = staged(score(docs.select("row", "text"), model, max_bytes).withColumnRenamed("n_bytes", "n"), "scored")
-    rows = about.join(scored, "row", "left").select(
-        "doc_id", "lang", F.coalesce("size", F.lit(0)).cast("long").alias("n_bytes"), "trusted",
-        F.when((F.col("n") > 0), F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+    about = about.select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    rows = score(about, model, max_bytes).select(
+        "doc_id", "lang", "n_bytes", "trusted", F.when(F.col("n_bytes") > 0, F.exp(-F.col("logp") / F.col("n_bytes"))).alias("perplexity"))
     rows = staged(rows, "perplexity")
-    trusted = rows.where("trusted and perplexity is not null")
-    cut = lambda: F.percentile_approx("perplexity", quantile, 10_000)
+    # A model finds the texts that it learnt from too easy: thresholds come from trusted ones that it hasn't seen.
+    trusted = rows.where(F.col("trusted") & F.col("perplexity").isNotNull() & ~learns)
+    # Few held-out texts have no such quantile among them; a normal law of the logarithms tells where it lies.
+    log, z = F.log("perplexity"), NormalDist().inv_cdf(quantile)
+    cut = lambda: F.greatest(F.percentile_approx("perplexity", quantile, 10_000),
+                             F.exp(F.avg(log) + z * F.coalesce(F.stddev(log), F.lit(0.0))))
     by_lang = trusted.groupBy("lang").agg(cut().alias("own")).withColumnRenamed("lang", "name")
     every = trusted.agg(cut()).first()[0]
     return (rows.join(by_lang, F.col("lang").eqNullSafe(F.col("name")), "left")

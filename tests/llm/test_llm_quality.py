@@ -83,6 +83,25 @@ def test_thresholds_by_language_and_odd_rows(spark):
     assert judge_quality(d.limit(0), labels).count() == 0
 
 
+def test_rows_keep_their_own_values_however_they_are_dealt(spark, tmp_path):
+    """By both ways, with other splits in every job."""
+    docs = [(i % 90, t, "en") for i, t in enumerate(texts(150, 5))] + [(None, None, "en"), (None, "the mat", "fr"), (3, "the mat", None)]
+    spark.createDataFrame([(*x, "clash") for x in docs], D).repartition(12).write.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], L)
+    values, old = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split, limit in (("1g", 1 << 24), ("3000", 1 << 24), ("1g", 0)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            asked = judge_quality(spark.read.parquet(str(tmp_path / "docs")), labels, max_bytes=limit)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+            values.append(sorted(((r.doc_id, r.lang, r.n_bytes, r.trusted, r.kept, round(r.perplexity or 0, 9)) for r in asked.collect()), key=str))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert values[0] == values[1] == values[2] and len(values[0]) == len(docs)
+    scored = score(spark.createDataFrame([(1, "the cat"), (2, "the cat"), (3, "")], "row long, text string"), train(spark.createDataFrame([("the cat sat",)], "text string")), 0)
+    assert {(r.row, r.n_bytes) for r in scored.collect()} == {(1, 7), (2, 7), (3, 0)}
+
+
 def test_very_long_text(spark):
     long = " ".join(texts(1)) * 60_000
     got = judge_quality(spark.createDataFrame([(1, long, "en", ""), (2, long[:2000], "en", "")], D), spark.createDataFrame([(2, 1)], L)).collect()
