@@ -864,3 +864,27 @@ def q_searched_submission(spark, sf_dir):
     both = en.blend(preds, scores).join(ends, "id")
     inside = F.col("sales").between(F.col("low") - 1e-6, F.col("high") + 1e-6)
     return both.select("id", (F.col("sales").isNotNull() & ~F.isnan("sales")).alias("forecast"), inside.alias("between"))
+
+
+# ------------------------------------------------------------------ importances of a linear forecaster
+_LINEAR = {"lag_1": 0.5, "mean_7": 0.375, "year_lag": 0.125}
+_PRED = " + ".join(f"{w} * {c}" for c, w in _LINEAR.items())
+_SHIFT = {c: en.feature_shift(c, SEARCH_SEED, 1 << 60) - 1 for c in _LINEAR}
+cte("importance_rows", f"SELECT *, row_number() OVER (ORDER BY substr(md5(id || '-{SEARCH_SEED}'), 1, 15), id) - 1 AS rk, count(*) OVER () AS n "
+    f"FROM naive WHERE NOT is_test AND date >= DATE '{ft.FEATURE_START}'", ("naive",))
+
+
+@query("q_importance_values", with_ctes(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, " + rnd("(moved - base)", 6) + " AS rise FROM (SELECT sqrt(avg(pow(ln(1 + a.sales) - ln(1 + "
+        + " + ".join(f"{w} * {'b' if k == c else 'a'}.{k}" for k, w in _LINEAR.items())
+        + f"), 2))) AS moved, sqrt(avg(pow(ln(1 + a.sales) - ln(1 + " + " + ".join(f"{w} * a.{k}" for k, w in _LINEAR.items())
+        + f"), 2))) AS base FROM importance_rows a JOIN importance_rows b ON b.rk = (a.rk + 1 + {_SHIFT[c]} % (a.n - 1)) % a.n) x"
+        for c in _LINEAR), "importance_rows"))
+def q_importance_values(spark, sf_dir):
+    """Permutation importance of each column of a linear forecaster, all of them in one pass over the rows."""
+    wide = naive_predictions(_written_panel(spark, sf_dir)).filter(~F.col("is_test"))
+    wide = materialize(wide.select("id", "sales", *_LINEAR), "importance")
+    pred = sum((F.col(c) * w for c, w in _LINEAR.items()), F.lit(0.0))
+    rise = en.permutation_importances(wide, list(_LINEAR), lambda df: df.withColumn("pred", pred), seed=SEARCH_SEED)
+    return rise.select("feature", _r("rise", 6))

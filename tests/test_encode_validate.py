@@ -287,3 +287,21 @@ def test_broadcast_is_decided_by_bytes(spark):
     assert df.select(row_bytes(df)).first()[0] == 1032
     hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
     assert hinted(bounded_broadcast(df)) and not hinted(bounded_broadcast(df, max_bytes=1000))
+
+
+def test_all_importances_in_one_pass_equal_one_after_the_other(spark):
+    import hashlib
+
+    import numpy as np
+    rng = np.random.default_rng(1)
+    rows = [(i, float(rng.integers(0, 9)), float(rng.integers(0, 5)), int(rng.integers(0, 3)), float(rng.integers(0, 20))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c int, sales double")
+    got = {r["feature"]: r["rise"] for r in en.permutation_importances(
+        df, ["a", "b", "c"], lambda d: d.withColumn("pred", F.col("a") + 2 * F.col("c")), seed=3).collect()}
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}-3".encode()).hexdigest()[:15], r[0]))
+    error = lambda x: np.sqrt(np.mean((np.log1p([r[4] for r in x]) - np.log1p([r[1] + 2 * r[3] for r in x])) ** 2))
+    for k, f in ((1, "a"), (2, "b"), (3, "c")):
+        shift = en.feature_shift(f, 3, 60)
+        moved = [(*r[:k], order[(i + shift) % 60][k], *r[k + 1:]) for i, r in enumerate(order)]
+        assert got[f] == pytest.approx(error(moved) - error(order), abs=1e-12)
+    assert got["b"] == pytest.approx(0, abs=1e-12)
