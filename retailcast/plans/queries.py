@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from retailcast.functions.dates import date_parts
 from retailcast.operators import calendar as cal
+from retailcast.operators import long_series
 from retailcast.operators import panel as pn
 from retailcast.operators.joins import join_dimension, materialize
 from retailcast.operators.series import interpolate_linear
@@ -156,6 +157,18 @@ def q_oil_smooth(spark, sf_dir):
     return s.select("date", _r46("dcoilwtico"))
 
 
+@query("q_oil_ranges", with_ctes(
+    "SELECT i.date, " + rnd("i.dcoilwtico", 4) + " AS filled, " + rnd46("s.dcoilwtico") + " AS dcoilwtico FROM oil_interp i JOIN oil_smooth s ON i.date = s.date",
+    "oil_interp", "oil_smooth"))
+def q_oil_ranges(spark, sf_dir):
+    """The oil series filled and smoothed as a series of any length: 50 ranges, carried over blocks of 64 rows."""
+    days = _upanel(spark, sf_dir).select("date").distinct()
+    s = days.join(si.oil(spark, sf_dir), "date", "left").select("date", "dcoilwtico")
+    filled = long_series.interpolate_linear(s, "dcoilwtico", "date", "filled", ranges=50, block_rows=64)
+    smooth = long_series.rolling_mean(filled, "filled", ft.OIL_WINDOW, 1, "date", "smooth", ranges=50, block_rows=64)
+    return smooth.select("date", _r("filled", 4), F.col("smooth").alias("dcoilwtico")).select("date", "filled", _r46("dcoilwtico"))
+
+
 # ------------------------------------------------------------------ lags
 _LAG_COLS = ([f"onpromotion_lag_{k}" for k in range(1, 8)]
              + [f"dcoilwtico_lag_{k}" for k in range(1, 8)] + ["Change_in_oil_prices"])

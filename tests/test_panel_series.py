@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import D
@@ -133,3 +134,21 @@ def test_rows_on_dates_and_lag_table(spark):
     lags = pn.add_lags(df, "v", 1).select("date", "store_nbr", "family", "v_lag_1")
     back = pn.attach_lag_table(df.drop("v"), lags).orderBy("date").collect()
     assert [r.v_lag_1 for r in back] == [None, 1.0, 2.0]
+
+
+@pytest.mark.parametrize("ranges, block", [(1, 1 << 17), (7, 5), (50, 1)])
+def test_long_series_equal_the_one_task_ones(spark, ranges, block):
+    from retailcast.operators import long_series as ls
+    from retailcast.operators import series
+    values = [None] * 9 + [4.0] + [None] * 23 + [1.5, 7.0, None, 2.0] + [float(i % 5) for i in range(20)] + [None] * 12
+    df = spark.createDataFrame([(i * 3, v) for i, v in enumerate(values)], "t int, v double").repartition(3)
+    for got, want in ((ls.interpolate_linear(df, "v", "t", ranges=ranges, block_rows=block), series.interpolate_linear(df, "v", "t")),
+                      (ls.interpolate_linear(df, "v", "t", "w", ranges, block), series.interpolate_linear(df, "v", "t", out="w")),
+                      (ls.rolling_mean(df, "v", 6, 2, "t", ranges=ranges, block_rows=block), series.rolling_mean(df, "v", 6, 2, "t")),
+                      (ls.rolling_mean(df, "v", 30, 1, "t", "m", ranges, block), series.rolling_mean(df, "v", 30, 1, "t", out="m"))):
+        assert got.columns == want.columns
+        for a, b in zip(got.orderBy("t").collect(), want.orderBy("t").collect()):
+            assert all(x == y or x == pytest.approx(y) for x, y in zip(a, b)), (a, b)
+    none = spark.createDataFrame([(1, None), (2, None)], "t int, v double")
+    assert [r["v"] for r in ls.interpolate_linear(none, "v", "t", ranges=2).collect()] == [None, None]
+    assert ls.rolling_mean(none.limit(0), "v", 3, 1, "t").count() == 0
