@@ -18,6 +18,7 @@ a row; texts of any length are counted whole. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ CACHED_CHARS = 64
 _SPACE, _NO_SPACE = r"\p{White_Space}", r"\P{White_Space}"
 _PIECES = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?!{_NO_SPACE})|{_SPACE}+")
-_RUN_BEFORE_WORD = regex.compile(rf"{_SPACE}{{2,}}(?={_NO_SPACE})")
+# Each run is looked at once: from its first sign, and never given back.
+_RUN_BEFORE_WORD = regex.compile(rf"(?<!{_SPACE}){_SPACE}{{2,}}+(?={_NO_SPACE})")
+_TWO_SPACES = re.compile(r"\s\s")  # of every text with such a run, quickly
 _LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
@@ -158,7 +161,7 @@ class PrefixCounter:
             steps = np.concatenate([np.frombuffer(x[1], np.int8) if x[1] is not None else np.array(x[2], np.int32) for x in got])
         else:
             steps = np.frombuffer(bytearray(b"".join(steps)), np.int8)
-        for m in _RUN_BEFORE_WORD.finditer(text):
+        for m in _RUN_BEFORE_WORD.finditer(text) if _TWO_SPACES.search(text) else ():
             # cut after the run, it is one piece; followed by a word, its last sign is no part of it
             step = self.count(m[0]) - self.count(m[0][:-1])
             if step != steps[m.end() - 1]:

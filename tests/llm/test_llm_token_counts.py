@@ -1,3 +1,5 @@
+import time
+
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -47,6 +49,13 @@ def test_column_answers_and_odd_rows(spark):
     assert prefix_token_counts(df.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x" + " " * 200_000, " " * 60_000 + "x", ("word" + "  ") * 60_000, "a\n" * 200_000, "ab" * 100_000, "!" * 200_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    n, _ = COUNTER.steps(text)
+    assert n == count(text) and time.process_time() - began < 60
+
+
 def test_wide_differences():
     import numpy as np
     steps = np.array([1, 300, -299])
