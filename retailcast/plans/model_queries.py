@@ -822,9 +822,9 @@ def q_boost_tree(spark, sf_dir):
 
 # Trials and bounds of the queries: small beside the reference's 70 and its 1,000 trees, so that the query is
 # done in minutes at any scale factor; both are arguments of ``search_hybrid``.
-HYBRID_TRIALS = 4
-_BOOSTED_SMALL = {**sr.BOOSTED_BOUNDS, "learning_rate": (0.1, 0.6), "n_estimators": (4.0, 9.0), "max_depth": (3.0, 5.0), "subsample": (0.5, 1.0)}
-_FOREST_SMALL = {**sr.RF_BOUNDS, "n_estimators": (3.0, 8.0), "max_depth": (3.0, 6.0), "max_samples": (0.5, 1.0)}
+HYBRID_TRIALS, BLENDED_TRIALS = 4, 2
+_BOOSTED_SMALL = {**sr.BOOSTED_BOUNDS, "learning_rate": (0.1, 0.6), "n_estimators": (3.0, 7.0), "max_depth": (3.0, 5.0), "subsample": (0.5, 1.0)}
+_FOREST_SMALL = {**sr.RF_BOUNDS, "n_estimators": (2.0, 5.0), "max_depth": (3.0, 5.0), "max_samples": (0.5, 1.0)}
 _HYBRIDS = {"boosted": ("boosted", True, _BOOSTED_SMALL), "stacked": ("boosted", False, {**_BOOSTED_SMALL, "gamma": sr.STACKED_BOUNDS["gamma"]}),
             "forest": ("forest", True, _FOREST_SMALL)}
 
@@ -836,7 +836,7 @@ def _searched(spark, sf_dir, names: list[str]) -> dict[str, tuple]:
     for name in names:
         kind, boosted, bounds = _HYBRIDS[name]
         base = HybridForecaster(boosted=boosted, unseen="pooled")
-        log = tn.search_hybrid(x, kind, bounds, HYBRID_TRIALS, io.scratch_path(spark, "hybrid-trials"), base, 2, SEARCH_SEED, (1 / 3, 1.0))
+        log = tn.search_hybrid(x, kind, bounds, BLENDED_TRIALS, io.scratch_path(spark, "hybrid-trials"), base, 2, SEARCH_SEED, (1 / 3, 1.0))
         out[name] = log, tn.fit_best(x, kind, log, base).predict(test)
     return out
 

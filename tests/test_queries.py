@@ -22,7 +22,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_of_the_library_has_an_oracle():
-    assert set(ORACLE) == set(QUERIES) and set(ORACLE) <= set(se.queries())
+    # searches that SQL can't express; test_subsets and test_tuning hold them against plain versions
+    assert set(QUERIES) - set(ORACLE) == {"q_subset_search", "q_hybrid_search"}
+    assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(se.queries())
 
 
 def _plan(df) -> str:
