@@ -4,7 +4,8 @@ Pieces of the pre-tokenizer's pattern are encoded apart. Within a piece a dynami
 bytes finds, for each prefix, the one token that can end its encoding: the longest vocabulary entry
 that may follow the last token of the shorter prefix (two tokens may stand side by side if encoding
 their joined bytes gives just these two). count[i] = count[i - len(token)] + 1. Each distinct
-piece is solved once for each Python worker and kept in a cache of bounded size.
+piece is solved once for each Python worker and kept in a cache of bounded size; the new pieces of some
+texts are solved in sorted order, so that a prefix that neighbours share is solved once.
 
 Cutting a text may change its pieces near the cut. Where it does (within white space before a word, a
 contraction, or a special token), the prefix is counted with the pieces it has itself. Counts are
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 #: Distinct pieces, and pairs of tokens, kept by a worker; pieces longer than this are not kept.
 CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
+#: Characters of the texts whose pieces are learnt together.
+GROUP_CHARS = 4 << 20
 
 # Fixed values of the vocabulary's pre-tokenizer: contractions, letters, digits, other signs, space.
 _SPACE, _NO_SPACE = r"\p{White_Space}", r"\P{White_Space}"
@@ -63,13 +66,17 @@ class PrefixCounter:
         self.vocab = {raw(s) for s in spec["model"]["vocab"] if s not in self.special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocab))
         self._merges = len(pairs)
         self.parts = {a + b: (a, b) for a, b in reversed(self.rank)}  # of two ways, the one of lower rank
         self.made = {a + b: i for (a, b), i in reversed(self.rank.items())}
         # A token that plain merging of its own bytes does not give can end no encoding.
         self.tokens = [b"", *sorted(t for t in self.vocab if len(t) == 1 or t in self.parts)]
         self.number = {t: i for i, t in enumerate(self.tokens) if i}
+        #: The longest token by its last three bytes; others have two at most.
+        self._longest: dict[bytes, int] = {}
+        for t in self.number:
+            if len(t) > 2:
+                self._longest[t[-3:]] = max(len(t), self._longest.get(t[-3:], 0))
         self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, bytes | None, list[int]]] = {}
         self._older: dict[str, tuple[int, bytes | None, list[int]]] = {}
@@ -111,19 +118,53 @@ class PrefixCounter:
 
     def byte_counts(self, data: bytes) -> list[int]:
         """count[i]: tokens of the first i bytes, as one piece."""
-        size, number, pairs, longest = len(data), self.number.get, self._pairs.get, self.longest
-        count, last = [0] * (size + 1), [0] * (size + 1)
-        for i in range(1, size + 1):
-            for j in range(i - longest if i > longest else 0, i):
+        count, last = [0], [0]
+        self._go_on(data, count, last)
+        return count
+
+    def _go_on(self, data: bytes, count: list[int], last: list[int]) -> None:
+        """Fill the counts and last tokens of the prefixes of ``data`` from the first one that is not there."""
+        number, pairs, longest = self.number.get, self._pairs.get, self._longest.get
+        for i in range(len(count), len(data) + 1):
+            most = longest(data[i - 3:i], 2) if i > 3 else i
+            for j in range(i - most if i > most else 0, i):
                 token = number(data[j:i])
                 if token:
                     ok = pairs(last[j] << 32 | token)
                     if ok or ok is None and self._may_follow(last[j], token):
-                        count[i], last[i] = count[j] + 1, token
+                        count.append(count[j] + 1)
+                        last.append(token)
                         break
             else:
                 raise ValueError(f"no token of the vocabulary ends at byte {i} of {data[:40]!r}")
-        return count
+
+    def learn(self, pieces: set[str]) -> None:
+        """Solve the pieces that aren't kept yet, in the order of their bytes: what a piece shares with the
+        one before it is not solved again."""
+        new = sorted((p.encode(), p) for p in pieces if len(p) <= CACHED_CHARS and p not in self._pieces and p not in self._older)
+        before, count, last = b"", [0], [0]
+        for data, piece in new:
+            same, most = 0, min(len(before), len(data))
+            while same < most and before[same] == data[same]:
+                same += 1
+            del count[same + 1:], last[same + 1:]
+            self._go_on(data, count, last)
+            self._keep(piece, self._solved(piece, data, count))
+            before = data
+
+    def _keep(self, piece: str, out: tuple[int, bytes | None, list[int]]) -> None:
+        if len(self._pieces) >= CACHE_ENTRIES:  # pieces not met again go after a generation
+            self._pieces, self._older = {}, self._pieces
+        self._pieces[piece] = out
+
+    def _solved(self, piece: str, data: bytes, at: list[int]) -> tuple[int, bytes | None, list[int]]:
+        if len(data) != len(piece):  # counts at the ends of code points
+            at = [at[i] for i in (0, *(i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80), len(data))]
+        if piece in _LONG_CONTRACTIONS:  # cut after its first letter, it is a sign and a word
+            at = [*at[:2], self.count("'") + self.count(piece[1]), *at[3:]]
+        steps = [b - a for a, b in zip(at, at[1:])]
+        fits = min(steps) >= -128 and max(steps) <= 127
+        return at[-1], bytes([s & 255 for s in steps]) if fits else None, () if fits else steps
 
     def _piece(self, piece: str) -> tuple[int, bytes | None, list[int]]:
         """Tokens of a piece, and the differences of the counts of its prefixes by code point."""
@@ -131,31 +172,20 @@ class PrefixCounter:
         if known:
             return known
         known = self._older.get(piece)
-        if known:
-            self._pieces[piece] = known
-            return known
-        data = piece.encode()
-        at = self.byte_counts(data)
-        if len(data) != len(piece):  # counts at the ends of code points
-            at = [at[i] for i in (0, *(i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80), len(data))]
-        if piece in _LONG_CONTRACTIONS:  # cut after its first letter, it is a sign and a word
-            at[2] = self.count("'") + self.count(piece[1])
-        steps = [b - a for a, b in zip(at, at[1:])]
-        fits = min(steps) >= -128 and max(steps) <= 127
-        out = (at[-1], bytes([s & 255 for s in steps]) if fits else None, () if fits else steps)
+        if known is None:
+            data = piece.encode()
+            known = self._solved(piece, data, self.byte_counts(data))
         if len(piece) <= CACHED_CHARS:
-            if len(self._pieces) >= CACHE_ENTRIES:  # pieces not met again go after a generation
-                self._pieces, self._older = {}, self._pieces
-            self._pieces[piece] = out
-        return out
+            self._keep(piece, known)
+        return known
 
     def count(self, text: str) -> int:
         """Tokens of a text without special tokens."""
         return sum(self._piece(p)[0] for p in _PIECES.findall(text))
 
-    def _plain(self, text: str) -> tuple[int, np.ndarray]:
+    def _plain(self, text: str, pieces: list[str] | None = None) -> tuple[int, np.ndarray]:
         known, piece = self._pieces, self._piece
-        got = [known.get(p) or piece(p) for p in _PIECES.findall(text)]
+        got = [known.get(p) or piece(p) for p in (_PIECES.findall(text) if pieces is None else pieces)]
         steps = [x[1] for x in got]
         if None in steps:
             steps = np.concatenate([np.frombuffer(x[1], np.int8) if x[1] is not None else np.array(x[2], np.int32) for x in got])
@@ -170,6 +200,13 @@ class PrefixCounter:
                 steps[m.end() - 1] = step
         return sum([x[0] for x in got]), steps
 
+    def all_steps(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """``steps`` of each text; the pieces that any of them brings are learnt together."""
+        split = [None if self._special is not None and self._special.search(t) else _PIECES.findall(t) for t in texts]
+        self.learn(set().union(*(s for s in split if s)))
+        for text, pieces in zip(texts, split):
+            yield self.steps(text) if pieces is None else self._plain(text, pieces)
+
     def steps(self, text: str) -> tuple[int, np.ndarray]:
         """(tokens, differences): the count of the first n code points is differences[:n].sum()."""
         if self._special is None or not self._special.search(text):
@@ -218,17 +255,15 @@ def prefix_token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         if counter is None:
             counter = _counters[hash(shared.value)] = PrefixCounter(shared.value)
         for batch in batches:
-            held, size = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py() or ""
-                n, steps = counter.steps(text)
-                held.append((doc_id.as_py(), len(text.encode()), len(text), n, pack(steps)))
-                size += len(text)
-                if size > 4 << 20:
+            ids, texts, size = [], [], 0
+            for k, (doc_id, text) in enumerate(zip(batch.column(0), batch.column(1)), 1):
+                ids.append(doc_id.as_py())
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size > GROUP_CHARS or k == batch.num_rows:
+                    held = [(i, len(t.encode()), len(t), n, pack(steps)) for i, t, (n, steps) in zip(ids, texts, counter.all_steps(texts))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
+                    ids, texts, size = [], [], 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT)
 

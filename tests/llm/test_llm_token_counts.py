@@ -31,6 +31,15 @@ def test_every_prefix(text):
     assert n == count(text)
 
 
+def test_pieces_learnt_together_are_the_same():
+    with open(PATH, "rb") as f:
+        counter = PrefixCounter(f.read())
+    texts = TEXTS + ["the then them theme themes", "née néen né", "x" * 200, "'re 'll"]
+    for text, (n, steps) in zip(texts, counter.all_steps(texts)):
+        assert n == count(text) and unpack(pack(steps)).tolist() == [count(text[:i]) for i in range(len(text) + 1)]
+    assert list(counter.all_steps([])) == []
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab' \n\tstrelvé!1<|endoftxt>", max_size=40))
 def test_every_prefix_of_random_texts(text):
