@@ -107,16 +107,34 @@ def stream_blocks(docs: DataFrame, targets: DataFrame, block: int = BLOCK, repea
     return cut.select("source_no", "rank", "row", (first - F.col("from")).alias("begin"), (last - first).alias("length"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs`` (doc_id, source, text): doc_id, text_hash, size, source_size, target, taken
-    (words the mix takes, repeats counted)."""
+def _known(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` with a number, sizes and their source's target; and the targets."""
     sized = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"),
                                F.xxhash64("text").alias("text_hash")), "sizes")
     targets = staged(source_targets(sized), "targets")
     s, t = sized.alias("s"), targets.select("source_no", F.col("source").alias("name"), "source_size", "target").alias("t")
-    known = s.join(t, F.col("s.source").eqNullSafe(F.col("t.name"))).drop("name")
+    return s.join(t, F.col("s.source").eqNullSafe(F.col("t.name"))).drop("name"), targets
+
+
+def _pieces(known: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """(row, place, begin, length): what each slot of the schedule takes of which row."""
     pieces = stream_blocks(known.select("row", "doc_id", "text_hash", "size", "source_no"), targets, block)
-    slots = schedule(targets, block).select("source_no", "rank")
-    taken = pieces.join(slots, ["source_no", "rank"]).groupBy("row").agg(F.sum("length").alias("taken"))
+    return pieces.join(schedule(targets, block).select("source_no", "rank", "place"), ["source_no", "rank"]).drop("source_no", "rank")
+
+
+def mixed_stream(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mixture of ``docs`` (doc_id, source, text): (place, doc_id, text_hash, source, begin, length), the
+    words from ``begin`` on that the slot ``place`` takes. Ordered by place, each prefix follows the targets;
+    a slot of ``block`` words can hold pieces of several documents."""
+    known, targets = _known(docs)
+    return (_pieces(known, targets, block).join(known.select("row", "doc_id", "text_hash", "source"), "row")
+            .select("place", "doc_id", "text_hash", "source", "begin", "length"))
+
+
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs`` (doc_id, source, text): doc_id, text_hash, size, source_size, target, taken
+    (words the mix takes, repeats counted), first_place (the first slot that takes of it, null if none)."""
+    known, targets = _known(docs)
+    taken = _pieces(known, targets, block).groupBy("row").agg(F.sum("length").alias("taken"), F.min("place").alias("first_place"))
     return known.join(taken, "row", "left").select(
-        "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_place")

@@ -74,8 +74,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words taken of each document for the weighted mixture."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Words taken of each document for the weighted mixture, and where it first comes in its schedule."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_place")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

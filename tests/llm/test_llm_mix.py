@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from retailcast.llm.mix import mix, mirrored, schedule, source_targets
+from retailcast.llm.mix import mix, mirrored, mixed_stream, schedule, source_targets
 from pyspark.sql import functions as F
 
 D = "doc_id long, source string, text string, taken int, bucket int"
@@ -52,8 +52,36 @@ def test_targets_taken_and_bounds(spark):
 
 def test_reruns_agree_however_rows_are_dealt(spark):
     docs = spark.createDataFrame([(*d, 1, 1) for d in fixture(120)], D)
-    a, b = (sorted((str(r.doc_id), r.taken) for r in mix(docs.repartition(n)).collect()) for n in (1, 7))
+    a, b = (sorted((str(r.doc_id), r.taken, str(r.first_place)) for r in mix(docs.repartition(n)).collect()) for n in (1, 7))
     assert a == b
+    assert all((place == "None") == (taken == 0) for _, taken, place in a)
+
+
+def test_stream_follows_the_targets_and_sums_to_what_is_taken(spark):
+    r = random.Random(3)
+    docs = [(i, r.choice("aab"), " ".join("w" * r.randint(1, 3) for _ in range(r.randint(20, 200)))) for i in range(300)]
+    df = spark.createDataFrame([(*d, 1, 1) for d in docs], D)
+    pieces = sorted(mixed_stream(df).collect(), key=lambda p: (p.place, p.source))
+    got = {r.doc_id: r for r in mix(df).collect()}
+    sums, first, slots = defaultdict(int), {}, defaultdict(int)
+    covered = defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        sums[p.doc_id] += p.length
+        first.setdefault(p.doc_id, p.place)
+        slots[p.place] += p.length
+        for w in range(p.begin, p.begin + p.length):
+            covered[p.doc_id][w] += 1
+    assert {i: r.taken for i, r in got.items() if r.taken} == dict(sums)
+    assert {i: r.first_place for i, r in got.items() if r.taken} == first
+    assert all(0 <= w < got[i].size and n <= 2 for i, ws in covered.items() for w, n in ws.items())
+    assert max(slots.values()) == 64 and sum(n < 64 for n in slots.values()) <= 2
+    share = {s: t for s, t in {(d[1], got[d[0]].target) for d in docs}}
+    total, seen, done = sum(share.values()), defaultdict(int), 0
+    for p in pieces:
+        seen[p.source] += p.length
+        done += p.length
+        if done > 2_000:
+            assert all(abs(seen[s] - done * share[s] / total) < 12 * 64 for s in share)
 
 
 def test_prefixes_of_the_schedule_follow_the_targets(spark):
