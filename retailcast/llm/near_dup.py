@@ -138,10 +138,10 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-            for c in range(0, len(held), 256):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c:c + 256], pa.array(held[c:c + 256], pa.list_(pa.int64()))],
-                                                 schema=schema)
+            for c in range(0, batch.num_rows, 256):
+                texts = batch.column(1)[c:c + 256].cast(pa.binary())
+                held = [shingle_set(t.as_py(), words).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c:c + 256], pa.array(held, pa.list_(pa.int64()))], schema=schema)
     return run
 
 
@@ -205,12 +205,17 @@ def _cell(percent: int):
             registers = np.frombuffer(b"".join(large["registers"].to_pylist()), "<u2").reshape(-1, M)
             n, ids, comps = large["n"].to_numpy(), large["id"].to_numpy(), large["component"].to_numpy()
             sets = large["shingles"]
-            columns = ["id", "component", "n", "registers", "shingles"]
-            for row in small.select([f"small_{c}" for c in columns]).rename_columns(columns).to_pylist():
-                mine = np.broadcast_to(np.frombuffer(row["registers"], "<u2"), registers.shape)
-                open_ = comps != row["component"]
-                open_[open_] = may_reach(mine[open_], registers[open_], np.full(open_.sum(), row["n"]), n[open_], percent / 100)
-                own, done = np.array(row["shingles"], np.int64), set()
+            small_sets = small["small_shingles"]
+            columns = ["id", "component", "n", "registers"]
+            for at, row in enumerate(small.select([f"small_{c}" for c in columns]).rename_columns(columns).to_pylist()):
+                # sizes alone refute most sets, then registers
+                open_ = (comps != row["component"]) & (100 * n >= percent * row["n"]) & (100 * row["n"] >= percent * n)
+                if not open_.any():
+                    continue
+                theirs = registers[open_]
+                mine = np.broadcast_to(np.frombuffer(row["registers"], "<u2"), theirs.shape)
+                open_[open_] = may_reach(mine, theirs, np.full(len(theirs), row["n"]), n[open_], percent / 100)
+                own, done = small_sets[at].values.to_numpy(), set()
                 for i in np.flatnonzero(open_):
                     if comps[i] not in done:
                         shared = len(np.intersect1d(own, sets[int(i)].values.to_numpy(), assume_unique=True))
