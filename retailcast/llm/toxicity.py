@@ -19,7 +19,6 @@ for one named score.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +41,7 @@ LONGEST, RUN, RUN_OVERLAP = 64, 6, 3
 BUCKETS = 1 << BUCKET_BITS
 WIDTH, HIDDEN, ATTENTION = 16, 8, 8
 ROUNDS, STEPS, BATCH, RATE = 5, 160, 128, 0.01
-CACHE_WORDS, VECTOR_WORDS, PIECE, PIECE_BYTES = 400_000, 1 << 14, STRIDE * 4_000, 1 << 20
+CACHE_WORDS, VECTOR_WORDS, PIECE, PIECE_BYTES = 100_000, 1 << 14, STRIDE * 4_000, 1 << 18
 _SIGNS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -377,9 +376,6 @@ def _pieces(ws: bytes) -> Iterator[bytes]:
         yield ws[start[at]:end[min(at + PIECE + WINDOW - STRIDE, len(end)) - 1]]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     """The network, from a bounded sample of ``labels`` (doc_id, toxic) outside the held-out fold."""
     known = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -401,13 +397,8 @@ def with_scores(docs: DataFrame, net: Network | None) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
-    name = uuid.uuid4().hex
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:  # a worker keeps one, with the words that it has met
-            _scorers.clear()
-            _scorers[name] = Scorer(shared.value)
-        scorer = _scorers[name]
+        scorer = Scorer(shared.value)  # for one task: later jobs in this worker need its memory
         for batch in batches:
             scores = scorer(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
