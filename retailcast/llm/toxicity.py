@@ -19,7 +19,6 @@ for one named score.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +40,9 @@ LONGEST, RUN, RUN_OVERLAP = 64, 6, 3
 BUCKETS = 1 << BUCKET_BITS
 WIDTH, HIDDEN, ATTENTION = 16, 8, 8
 ROUNDS, STEPS, BATCH, RATE = 5, 160, 128, 0.01
-CACHE_WORDS, VECTOR_WORDS, PIECE, PIECE_BYTES = 100_000, 1 << 14, STRIDE * 4_000, 1 << 18
+CACHE_WORDS, VECTOR_WORDS, PIECE, PIECE_BYTES = 100_000, 1 << 12, STRIDE * 4_000, 1 << 18
+#: Texts of a batch that are Python objects at once.
+SLICE = 1_000
 _SIGNS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -217,49 +218,59 @@ def _window_logits(net: Network, projected: np.ndarray, rows: np.ndarray, size:
     return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
+def _numbered(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+    """The texts as numbers of words, and the words in order."""
+    number: dict[bytes, int] = {}
+    split = [np.fromiter((number.setdefault(w, len(number)) for w in words(t).split()), np.int64) for t in texts]
+    in_order = sorted(number)
+    rank = np.zeros(len(number), np.int64)
+    rank[[number[w] for w in in_order]] = np.arange(len(number))
+    return [rank[ws] for ws in split], in_order
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
-    """The network for a sample of texts with labels 0 and 1; None if it lacks one of them."""
+    """The network for a sample of texts with labels 0 and 1; None if it lacks one of them, or any word."""
     y = np.array(toxic, np.float32)
     if not 0 < y.sum() < len(y):
         return None
     rng = np.random.default_rng(seed)
-    split = [words(t).split() for t in texts]
-    spread, odds = Counter(), Counter()
-    for ws, label in zip(split, y):
-        spread.update(set(ws))
-        if label:
-            odds.update(set(ws))
-    chosen = [w for w, _ in sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
-    net = Network(chosen, seed)
-
-    all_words = sorted(spread)
-    number = {w: i for i, w in enumerate(all_words)}
-    flat, counts = ngram_ids(all_words)
-    grams = np.split(flat, np.cumsum(counts)[:-1])
-    owner, scale = np.repeat(np.arange(len(grams)), counts), np.sqrt(counts, dtype=np.float32)
+    split, all_words = _numbered(texts)
+    if not all_words:
+        return None
+    spread = np.bincount(np.concatenate([np.unique(ws) for ws in split]), minlength=len(all_words))
+    odds = np.bincount(np.concatenate([np.unique(ws) for ws, label in zip(split, y) if label]), minlength=len(all_words))
+    top_words = np.argsort(-spread, kind="stable")[:VOCABULARY]
+    net = Network([all_words[w] for w in top_words], seed)
+
+    # In parts, as the n-grams of a whole vocabulary at once take many times their own memory.
+    parts = [ngram_ids(all_words[i:i + VECTOR_WORDS]) for i in range(0, len(all_words), VECTOR_WORDS)]
+    flat, counts = (np.concatenate(x) for x in zip(*parts))
+    ends = np.cumsum(counts)
+    grams = lambda w: flat[ends[w] - counts[w]:ends[w]]
+    owner, scale = np.repeat(np.arange(len(counts)), counts), np.sqrt(counts, dtype=np.float32)
     word_row = np.array([net.number.get(w, 0) for w in all_words])
+    del parts, all_words
     # Log odds by documents, smoothed, as the first guess of one dimension.
     prior = y.sum() / len(y)
 
     def log_odds(hit: np.ndarray, all_: np.ndarray) -> np.ndarray:
         return np.clip(np.log((hit + prior) / (all_ + 1) / prior) - np.log((all_ - hit + 1 - prior) / (all_ + 1) / (1 - prior)), -4, 4)
-    hit, all_ = np.array([odds[w] for w in chosen]), np.array([spread[w] for w in chosen])
-    net.w["word"][1:, 0] = log_odds(hit, all_) / 2
+    net.w["word"][1:, 0] = log_odds(odds[top_words], spread[top_words]) / 2
     per_gram = np.zeros((2, BUCKETS))
     for ws, label in zip(split, y):
-        seen = np.unique(np.concatenate([grams[number[w]] for w in set(ws)])) if ws else np.zeros(0, np.int64)
+        seen = np.unique(np.concatenate([grams(w) for w in np.unique(ws)])) if len(ws) else np.zeros(0, np.int64)
         per_gram[:, seen] += [[float(label)], [1.0]]
     net.w["gram"][:, 0] = log_odds(per_gram[0], per_gram[1]) / 2
 
-    docs = [_windows(np.array([number[w] for w in ws], np.int64)) for ws in split]
-    used = [i for i, d in enumerate(docs) if len(d)]
-    rows, doc_of = np.concatenate([docs[i] for i in used]), np.repeat(used, [len(docs[i]) for i in used])
-    first = {i: f for i, f in zip(used, np.cumsum([0] + [len(docs[i]) for i in used]))}
+    used = [i for i, ws in enumerate(split) if len(ws)]
+    n_rows = {i: len(window_starts(len(split[i]))) for i in used}
+    rows, doc_of = np.concatenate([_windows(split[i]) for i in used]), np.repeat(used, list(n_rows.values()))
+    first = dict(zip(used, np.cumsum([0, *n_rows.values()])))
 
     def vectors() -> np.ndarray:
-        sums = np.zeros((len(all_words), WIDTH), np.float32)
+        sums = np.zeros((len(counts), WIDTH), np.float32)
         for k in range(WIDTH):
-            sums[:, k] = np.bincount(owner, net.w["gram"][flat, k], len(all_words))
+            sums[:, k] = np.bincount(owner, net.w["gram"][flat, k], len(counts))
         return net.w["word"][word_row] + sums / scale[:, None]
 
     mean, square = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -271,8 +282,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
     for turn in range(rounds):
         if turn and turn % -(-rounds // 3) == 0:
             level = _window_logits(net, net.projected(vectors()), rows)
-        top = {i: first[i] + int(np.argmax(level[first[i]:first[i] + len(docs[i])])) for i in used}
-        picked = [(top[i], 1.0) for i in pos] + [(top[i], 0.0) for i in neg] + [(first[i] + int(rng.integers(len(docs[i]))), 0.0) for i in neg]
+        top = {i: first[i] + int(np.argmax(level[first[i]:first[i] + n_rows[i]])) for i in used}
+        picked = [(top[i], 1.0) for i in pos] + [(top[i], 0.0) for i in neg] + [(first[i] + int(rng.integers(n_rows[i])), 0.0) for i in neg]
         order = rng.permutation(len(picked))
         balance = len(neg) * 2 / max(len(pos), 1)
         for b in range(0, len(order), BATCH):
@@ -281,7 +292,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Network | None:
             mask = ids >= 0
             distinct, at = np.unique(ids, return_inverse=True)
             at = at.reshape(ids.shape)
-            some_grams = [grams[w] for w in distinct if w >= 0]
+            some_grams = [grams(w) for w in distinct if w >= 0]
             own = np.repeat(np.flatnonzero(distinct >= 0), [len(x) for x in some_grams])
             cat, root = np.concatenate(some_grams), np.where(distinct >= 0, scale[distinct], 1)[:, None]
             word_at = np.where(distinct >= 0, word_row[distinct], 0)
@@ -400,7 +411,8 @@ def with_scores(docs: DataFrame, net: Network | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)  # for one task: later jobs in this worker need its memory
         for batch in batches:
-            scores = scorer(batch.column(at).to_pylist())
+            texts = batch.column(at)
+            scores = np.concatenate([scorer(texts[c:c + SLICE].to_pylist()) for c in range(0, len(texts), SLICE)]) if len(texts) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
     return docs.mapInArrow(run, schema)
 

@@ -130,3 +130,20 @@ def test_scores_keep_the_other_columns(spark):
     df = spark.createDataFrame([(1, "a", "x", "en")], D)
     out = X.with_scores(df, None)
     assert out.columns == ["doc_id", "text", "lang", "score"] and out.first().lang == "en"
+
+
+def test_words_are_numbered_in_their_order_and_no_words_give_no_network():
+    split, names = X._numbered(["b a b", "", "c a"])
+    assert names == [b"a", b"b", b"c"] and [ws.tolist() for ws in split] == [[1, 0, 1], [], [2, 0]]
+    assert X.train(["", "!"], [0, 1]) is None
+
+
+def test_slices_of_a_batch_score_as_the_whole(spark, monkeypatch):
+    texts = [f"word{i % 7} other{i % 11} bad{i % 3}" for i in range(60)]
+    net = X.train(texts, [int(i % 3 == 0) for i in range(60)])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string").coalesce(1)
+    whole = X.Scorer(net)([*texts, None, ""])
+    got = [r.score for r in X.with_scores(docs, net).orderBy("doc_id").collect()]
+    assert np.allclose(got, whole, atol=1e-5)
+    scorer = X.Scorer(net)
+    assert np.allclose(np.concatenate([scorer(texts[c:c + 7]) for c in range(0, 60, 7)]), whole[:60], atol=1e-5)
