@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retailcast.llm.common import small_enough, staged, text_key, unstage
-from retailcast.llm.words import kgram_hashes, normal, word_spans
+from retailcast.llm.words import give_back, kgram_hashes, normal, word_spans
 
 M = 256
 BASE = 1.01
@@ -130,6 +130,7 @@ def _sketches(words: int):
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(
                     pa.array(c, f.type) for c, f in zip(zip(*out), list(_ROWS_ARROW)[2:]))], schema=_ROWS_ARROW)
+        give_back()
     return run
 
 
@@ -142,6 +143,7 @@ def _sets(words: int):
                 texts = batch.column(1)[c:c + 256].cast(pa.binary())
                 held = [shingle_set(t.as_py(), words).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[c:c + 256], pa.array(held, pa.list_(pa.int64()))], schema=schema)
+        give_back()
     return run
 
 

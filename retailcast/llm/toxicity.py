@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retailcast.llm.words import kgram_hashes, normal, word_spans
+from retailcast.llm.words import give_back, kgram_hashes, normal, word_spans
 
 #: Bounds of the sample to learn from, for each label.
 SAMPLE = 1_500
@@ -398,7 +398,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_BYTES)
             .join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect())
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    net = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    give_back()
+    return net
 
 
 def with_scores(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -414,6 +416,8 @@ def with_scores(docs: DataFrame, net: Network | None) -> DataFrame:
             texts = batch.column(at)
             scores = np.concatenate([scorer(texts[c:c + SLICE].to_pylist()) for c in range(0, len(texts), SLICE)]) if len(texts) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+        del scorer
+        give_back()
     return docs.mapInArrow(run, schema)
 
 

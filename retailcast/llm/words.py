@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,14 @@ def normal(text: bytes | None, signs: bytes) -> bytes:
     return b" ".join((text or b"").translate(signs).split())
 
 
+def give_back() -> None:
+    """Hand free memory of this process back to the system: Python workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def word_spans(words: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
