@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from retailcast.operators import knn
 from retailcast.operators import panel as pn
 from retailcast.operators.encode import NominalTransformer, category_dictionary
-from retailcast.operators.hybrid import KnnLearner
+from retailcast.operators.histboost import BinnedTrees, HistForest
+from retailcast.operators.hybrid import KnnLearner, make_learner
 from retailcast.operators.joins import materialize
 from retailcast.plans import features as ft
 from retailcast.plans import model_queries as mq
@@ -99,3 +100,34 @@ def test_param_search_measures_each_metric_once(spark, monkeypatch):
     monkeypatch.setattr(knn, "knn_neighbors", lambda *a, **k: calls.append(k["metric"] if "metric" in k else a[3]) or measure(*a, **k))
     mq.q_param_search(spark, SMALL).collect()
     assert len(calls) == len(set(calls)) <= 2
+
+
+def _levels_table(spark, n=600, levels=150):
+    df = spark.range(n).withColumns({"store": F.concat(F.lit("s"), (F.col("id") % levels).cast("string")), "x": (F.col("id") * 7919 % n).cast("double")})
+    df = df.withColumn("label", F.when(F.col("store") == "s3", 50.0).otherwise(0.0) + F.col("x") / 100)
+    return NominalTransformer(exclude=["id", "label"]).fit(df).transform(df).select("id", "features", "label")
+
+
+def test_boosted_trees_seek_no_more_cuts_than_bins_beside_many_levels(spark):
+    rows = _levels_table(spark)
+    fitted = BinnedTrees(make_learner("gbt", maxIter=3, maxDepth=3, maxBins=151, stepSize=1.0), 8).fit(rows)
+    assert all(len(c) <= 7 for c in fitted.binning.cuts if c is not None)
+    assert fitted.transform(rows).agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0] < 1.0
+
+
+def test_forest_cuts_one_level_against_the_others(spark):
+    rows = _levels_table(spark)
+    fitted = HistForest(maxIter=2, maxDepth=3, bootstrap=False, columns=1.0).fit(rows)
+    cuts = [s for t in fitted.trees for s in t.split.values()]
+    codes = [len(b) for f, b, _ in cuts if f in fitted.binning.categories]
+    assert codes and set(codes) == {1} and fitted.trees[0].split[1][0] in fitted.binning.categories
+    assert fitted.transform(rows).agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0] < 1.0
+
+
+def test_forest_means_are_those_of_its_bootstrap_rows(spark):
+    rows = _levels_table(spark)
+    forest = HistForest(maxIter=1, maxDepth=1, columns=1.0)
+    tree = forest.fit(rows).trees[0]
+    drawn = forest._sample(rows, 0).agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("label")).alias("s")).first()
+    assert abs(tree.sums[1][1] - drawn["w"]) < 1e-9 and abs(-tree.sums[1][0] - drawn["s"]) < 1e-6
+    assert 450 < drawn["w"] < 750
