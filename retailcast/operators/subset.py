@@ -139,16 +139,19 @@ class Subsets:
 _SCORED = pa.schema([("trial", pa.int64()), ("fold", pa.int32()), ("total", pa.float64()), ("n", pa.int64())])
 
 
-def prepare_subsets(rows: DataFrame, features: list[str], splits: int, y: str = "sales", fits: str = "fits") -> Subsets:
-    """Pass 1 over ``rows`` (block, y, fits, features): scale, code, and sum the cross-products."""
+def prepare_subsets(rows: DataFrame, features: list[str], splits: int, y: str = "sales", fits: str = "fits",
+                    plain: DataFrame | None = None) -> Subsets:
+    """Pass 1 over ``rows`` (block, y, fits, features): scale, code, and sum the cross-products. ``plain``: the
+    same rows before the fits were joined, for the statistics and levels, so that the join runs once."""
     typed = rows.select(*features)
     categories = columns_of_type(typed, CATEGORY_TYPES)
     numbers = [c for c in features if c not in categories]
     rows = rows.select("block", y, fits, *(F.col(f"`{c}`").cast("double").alias(c) for c in numbers), *categories)
-    stats = PopulationScaler(numbers).fit(rows).stats
+    plain = rows if plain is None else plain.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in numbers), *categories)
+    stats = PopulationScaler(numbers).fit(plain).stats
     sizes = {}
     if categories:
-        dictionary = materialize(category_dictionary(rows, categories), "subset-levels")
+        dictionary = materialize(category_dictionary(plain, categories), "subset-levels")
         sizes = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}  # a row for each category
         rows = apply_codes(rows, dictionary, categories)
     design = Design(numbers, [(stats[c][0] or 0.0, stats[c][1] or 1.0) for c in numbers], categories, [sizes.get(c, 0) for c in categories])

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-
 from retailcast.operators import knn
 from retailcast.operators import panel as pn
+from retailcast.operators import subset as ss
 from retailcast.operators.encode import NominalTransformer, category_dictionary
 from retailcast.operators.histboost import BinnedTrees, HistForest
 from retailcast.operators.hybrid import KnnLearner, make_learner
@@ -133,3 +133,10 @@ def test_forest_means_are_those_of_its_bootstrap_rows(spark):
     drawn = {"w": w.sum(), "s": (w * held["label"]).sum()}
     assert abs(tree.sums[1][1] - drawn["w"]) < 1e-9 and abs(-tree.sums[1][0] - drawn["s"]) < 1e-6
     assert 450 < drawn["w"] < 750
+
+
+def test_subset_statistics_do_not_need_the_joined_fits(spark):
+    plain = spark.createDataFrame([(b, float(i), float(i % 5), "ab"[i % 2]) for i in range(40) for b in (i % 3,)], "block int, sales double, x double, c string")
+    joined = plain.withColumn("fits", F.array(F.lit(1.0), F.lit(2.0)))
+    one, two = (ss.prepare_subsets(joined, ["x", "c"], 2, plain=p) for p in (None, plain))
+    assert one.design == two.design and np.allclose(one.grams, two.grams)
