@@ -1,5 +1,6 @@
 """Plans and results of the steps that the queries share: what is shuffled, sorted and written."""
 
+import datetime as dt
 import re
 
 import numpy as np
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from retailcast.operators import knn
 from retailcast.operators import panel as pn
 from retailcast.operators import subset as ss
-from retailcast.operators.encode import NominalTransformer, category_dictionary
-from retailcast.operators.histboost import BinnedTrees, HistForest
-from retailcast.operators.hybrid import KnnLearner, make_learner
+from retailcast.operators.encode import NominalTransformer, PopulationScaler, category_dictionary
+from retailcast.operators.histboost import BinnedTrees, HistBoostModel, HistForest
+from retailcast.operators.hybrid import HybridForecaster, KnnLearner, make_learner
 from retailcast.operators.joins import materialize
 from retailcast.plans import features as ft
 from retailcast.plans import model_queries as mq
@@ -140,3 +141,23 @@ def test_subset_statistics_do_not_need_the_joined_fits(spark):
     joined = plain.withColumn("fits", F.array(F.lit(1.0), F.lit(2.0)))
     one, two = (ss.prepare_subsets(joined, ["x", "c"], 2, plain=p) for p in (None, plain))
     assert one.design == two.design and np.allclose(one.grams, two.grams)
+
+
+def test_boosted_trees_of_a_hybrid_ask_for_no_bin_of_each_level(spark):
+    rows = [(d * 100 + s, dt.date(2020, 1, 1) + dt.timedelta(days=d), s, "A", float(s % 3 + d % 7), float(d % 7)) for d in range(20) for s in range(90)]
+    x = spark.createDataFrame(rows, "id long, date date, store_nbr int, family string, sales double, promo double")
+    learner = make_learner("gbt", maxIter=2, maxDepth=3, maxBins=16)  # fewer bins than stores
+    model = HybridForecaster(learner, fourier=[], linear_cols=[]).fit(x)
+    assert isinstance(model.stage2, HistBoostModel) and len(model.stage2.trees) == 2
+    pred = model.predict(x.drop("sales"), in_sample=True).collect()
+    assert len(pred) == len(rows) and all(r["pred"] >= 0 for r in pred)
+
+
+def test_moments_and_levels_of_tasks_are_put_together(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("IF(id % 9 = 0, NULL, CAST(id AS DOUBLE) / 2) AS a", "id % 4 AS n", "IF(id % 3 = 0, NULL, concat('x', id % 11)) AS t", "id % 2 = 0 AS b")
+    mean, std = PopulationScaler(["a"]).fit(df).stats["a"]
+    wanted = df.selectExpr("avg(a) AS m", "stddev_pop(a) AS s").first()
+    assert abs(mean - wanted["m"]) < 1e-9 and abs(std - wanted["s"]) < 1e-9
+    codes = {(r["column"], r["value"]): r["code"] for r in category_dictionary(df, ["n", "t", "b"]).collect()}
+    assert codes == {**{("n", str(i)): i for i in range(4)}, ("b", "false"): 0, ("b", "true"): 1,
+                     **{("t", v): i for i, v in enumerate(sorted(f"x{k}" for k in range(11)))}}
