@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from retailcast.operators import evaluate as ev
 from retailcast.operators import knn
 from retailcast.operators import panel as pn
 from retailcast.operators import subset as ss
@@ -161,3 +162,19 @@ def test_moments_and_levels_of_tasks_are_put_together(spark):
     codes = {(r["column"], r["value"]): r["code"] for r in category_dictionary(df, ["n", "t", "b"]).collect()}
     assert codes == {**{("n", str(i)): i for i in range(4)}, ("b", "false"): 0, ("b", "true"): 1,
                      **{("t", v): i for i, v in enumerate(sorted(f"x{k}" for k in range(11)))}}
+
+
+def test_folds_of_rows_with_their_target_need_no_join(spark):
+    rows = [(i, dt.date(2020, 1, 1) + dt.timedelta(days=i // 2), i % 2, "A", float(i % 5)) for i in range(40)]
+    x = spark.createDataFrame(rows, "id long, date date, store_nbr int, family string, sales double")
+    seen = []
+
+    def fit_predict(tx, ty, vx):
+        seen.append((ty is None, "sales" in tx.columns, "sales" in vx.columns, "SortMergeJoin" in tx._jdf.queryExecution().executedPlan().toString()))
+        return vx.crossJoin(tx.agg(F.avg("sales").alias("pred"))).select("date", "store_nbr", "family", "pred")
+
+    got = ev.time_series_cv_folds(fit_predict, x, None, 4).orderBy("fold").collect()
+    plain = ev.time_series_cv_folds(lambda tx, ty, vx: vx.crossJoin(ty.agg(F.avg("sales").alias("pred"))).select("date", "store_nbr", "family", "pred"),
+                                    x.drop("sales"), x.select("date", "store_nbr", "family", "sales"), 4).orderBy("fold").collect()
+    assert seen == [(True, True, False, False)] * 4
+    assert [(r["fold"], r["n_rows"]) for r in got] == [(k, 8) for k in (1, 2, 3, 4)] and np.allclose([r["msle"] for r in got], [r["msle"] for r in plain])
