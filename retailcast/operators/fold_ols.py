@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from retailcast.functions.dates import fourier_terms
 from retailcast.functions.metrics import clip_lower, msle_term
 from retailcast.operators.evaluate import date_blocks
-from retailcast.operators.joins import bounded_broadcasts, materialize
+from retailcast.operators.joins import bounded_broadcasts, join_dimension, materialize
 from retailcast.operators.ols import RCOND, _solve_batch, linear_prediction
 from retailcast.operators.panel import dedup_last
 from retailcast.sources.schemas import SERIES
@@ -69,11 +69,14 @@ class FoldFits:
     columns: list[str]
     series: tuple[str, ...]
 
-    def add_fits(self, rows: DataFrame, out: str = "fits") -> DataFrame:
+    def add_fits(self, rows: DataFrame, out: str = "fits", dates: DataFrame | None = None) -> DataFrame:
         """``rows`` with an array of the fits of each (subset, fold); a series without training rows
-        has the pooled ones."""
+        has the pooled ones. ``dates``: the design's, for rows that don't have its columns yet; they are joined
+        behind the series' coefficients, so that a shuffle of the rows doesn't carry them."""
         (small,) = bounded_broadcasts(self.coefs)
         both = rows.join(small.withColumnRenamed("coefs", "_coefs"), list(self.series), "left")
+        if dates is not None:
+            both = join_dimension(both, dates, "date", "inner")
 
         def fit(k: int, pooled: list[float] | None) -> Column:
             other = F.array(*(F.lit(v) for v in pooled)) if pooled is not None else F.lit(None).cast("array<double>")

@@ -140,20 +140,29 @@ _SCORED = pa.schema([("trial", pa.int64()), ("fold", pa.int32()), ("total", pa.f
 
 
 def prepare_subsets(rows: DataFrame, features: list[str], splits: int, y: str = "sales", fits: str = "fits",
-                    plain: DataFrame | None = None) -> Subsets:
+                    plain: DataFrame | None = None, add=None, keep: tuple[str, ...] = ()) -> Subsets:
     """Pass 1 over ``rows`` (block, y, fits, features): scale, code, and sum the cross-products. ``plain``: the
-    same rows before the fits were joined, for the statistics and levels, so that the join runs once."""
+    same rows before the fits were joined, for the statistics and levels, so that the join runs once. With ``add``
+    the rows have no block and fits yet: ``add(rows)`` adds them, by the columns ``keep``, behind the
+    coding, so that a shuffle for it carries codes instead of texts."""
     typed = rows.select(*features)
     categories = columns_of_type(typed, CATEGORY_TYPES)
     numbers = [c for c in features if c not in categories]
-    rows = rows.select("block", y, fits, *(F.col(f"`{c}`").cast("double").alias(c) for c in numbers), *categories)
-    plain = rows if plain is None else plain.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in numbers), *categories)
+    whole = rows
+    rows = rows.select(*(["block", y, fits] if add is None else [y, *(F.col(f"`{c}`").alias(f"_key_{c}") for c in keep)]),
+                       *(F.col(f"`{c}`").cast("double").alias(c) for c in numbers), *categories)
+    plain = whole if plain is None else plain
+    plain = plain.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in numbers), *categories)
     stats = PopulationScaler(numbers).fit(plain).stats
     sizes = {}
     if categories:
         dictionary = materialize(category_dictionary(plain, categories), "subset-levels")
         sizes = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}  # a row for each category
         rows = apply_codes(rows, dictionary, categories)
+    if add is not None:
+        used = [f"_v_{c}" for c in [*numbers, *categories]]
+        apart = rows.select(y, *(F.col(f"_key_{c}").alias(c) for c in keep), *(F.col(f"`{c}`").alias(f"_v_{c}") for c in [*numbers, *categories]))
+        rows = add(apart).select("block", y, fits, *(F.col(f"`{c}`").alias(c[3:]) for c in used))
     design = Design(numbers, [(stats[c][0] or 0.0, stats[c][1] or 1.0) for c in numbers], categories, [sizes.get(c, 0) for c in categories])
     width = len(design.owners)
     if width > MAX_COLUMNS:

@@ -178,3 +178,16 @@ def test_folds_of_rows_with_their_target_need_no_join(spark):
                                     x.drop("sales"), x.select("date", "store_nbr", "family", "sales"), 4).orderBy("fold").collect()
     assert seen == [(True, True, False, False)] * 4
     assert [(r["fold"], r["n_rows"]) for r in got] == [(k, 8) for k in (1, 2, 3, 4)] and np.allclose([r["msle"] for r in got], [r["msle"] for r in plain])
+
+
+def test_fits_are_joined_behind_the_codes(spark):
+    rows = spark.createDataFrame([(i, i % 4, i % 3, float(i % 5), "long text " * 9 + str(i % 6), float(i)) for i in range(120)], "id long, s long, block int, x double, c string, sales double")
+    made = []
+
+    def add(df):
+        made.append(df.dtypes)
+        return df.join(rows.select("id", "block"), "id").withColumn("fits", F.array(F.col("s") * 1.0, F.col("s") * 2.0))
+
+    apart = ss.prepare_subsets(rows.drop("block"), ["x", "c"], 2, add=add, keep=("id", "s"))
+    plain = ss.prepare_subsets(rows.withColumn("fits", F.array(F.col("s") * 1.0, F.col("s") * 2.0)), ["x", "c"], 2)
+    assert not [c for c, t in made[0] if t == "string"] and np.allclose(apart.grams, plain.grams)
